@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from versegrid.functions.html_body import SITE_RULES
+from versegrid.operators import cluster as C
 from versegrid.operators import genres as G
 from versegrid.operators import pages as P
 from versegrid.operators import tfidf as V
+from versegrid.operators.learners import classify_all
+from versegrid.operators.metrics import cluster_scores
+from versegrid.operators.neighbours import neighbourhood
 from versegrid.operators.tokens import term_freq
 from versegrid.session import stage
+from versegrid.sources.tables import union_shards
 
 
 def crawl(artist_lists: DataFrame, song_lists: DataFrame, max_depth: int = P.MAX_DEPTH) -> DataFrame:
@@ -58,14 +63,19 @@ def vectorize(lyrics: DataFrame, tags: DataFrame, split: bool = False) -> DataFr
                             "trackid", split)
 
 
-def vectorize_corpus(corpus: DataFrame, key: str, split: bool, stop: bool = True, stem: bool = True) -> DataFrame:
+def vectorize_corpus(corpus: DataFrame, key: str, split: bool) -> DataFrame:
     """Vectors of a ``(key, text, label)`` corpus."""
-    long, index, docs = weighted_corpus(corpus, key, split, stop, stem)
+    return vectorized(corpus, key, split)[0]
+
+
+def vectorized(corpus: DataFrame, key: str, split: bool):
+    """``(vectors, long, index, docs)``: the same weights as ML vectors and as rows."""
+    long, index, docs = weighted_corpus(corpus, key, split)
     arrays = V.sparse_arrays(long, index, docs, key)
-    return V.sparse_vectors(arrays.join(docs, key), [key, "label", "part"])
+    return V.sparse_vectors(arrays.join(docs, key), [key, "label", "part"]), long, index, docs
 
 
-def weighted_corpus(corpus: DataFrame, key: str, split: bool, stop: bool = True, stem: bool = True):
+def weighted_corpus(corpus: DataFrame, key: str, split: bool):
     """``(long, index, docs)``: term weights, the term index, and rows with their part."""
     docs = corpus.select(key, "label")
     if split:
@@ -73,8 +83,29 @@ def weighted_corpus(corpus: DataFrame, key: str, split: bool, stop: bool = True,
     else:
         docs = docs.withColumn("part", F.lit("dataset"))
     train = docs.filter(F.col("part") != "testset")
-    tf = stage(term_freq(corpus, key, "text", stop, stem), "term-freq")
+    tf = stage(term_freq(corpus, key, "text"), "term-freq")
     fitted = tf.join(train.select(key), key, "left_semi") if split else tf
     idf = stage(V.idf(fitted, V.row_count(train)), "idf")
-    index = stage(V.term_index(idf), "term-index")
-    return V.weigh(tf, idf, key), index, docs
+    return V.weigh(tf, idf, key), stage(V.term_index(idf), "term-index"), docs
+
+
+def cluster(corpus: DataFrame, key: str, eps: float = 0.3, affinity_eps: float = 0.8) -> DataFrame:
+    """``(algorithm, homogeneity, completeness)`` of the three clusterings of a ``(key, text, label)`` corpus."""
+    labels = corpus.select(key, "label")
+    vectors = vectorize_corpus(corpus, key, split=False)
+    tf = stage(term_freq(corpus, key, "text"), "cluster-tf")
+    wide = neighbourhood(tf, labels, key, affinity_eps)
+    exemplars = C.affinity_propagation(
+        wide.balls.select(F.col("rep").alias("node")), stage(C.similarity_edges(wide), "cluster-edges"))
+    found = {
+        "k-means": C.kmeans(vectors, key),
+        "affinity propagation": wide.members.join(exemplars.withColumnRenamed("node", "rep"), "rep").join(
+            labels, key).select("label", F.col("exemplar").alias("cluster")),
+        "dbscan": C.dbscan(neighbourhood(tf, labels, key, eps), key).join(labels, key),
+    }
+    return union_shards([cluster_scores(df).select(F.lit(name).alias("algorithm"), "*") for name, df in found.items()])
+
+
+def classify(vectors: DataFrame, long: DataFrame, index: DataFrame, docs: DataFrame, key: str) -> DataFrame:
+    """Report rows of the five learners on what :func:`vectorized` gives for a split corpus."""
+    return classify_all(long, vectors, docs, V.row_count(index), key)
