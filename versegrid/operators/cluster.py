@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 from pyspark.ml.clustering import KMeans
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +20,8 @@ def kmeans(vectors: DataFrame, key: str, label: str = "label", runs: int = 10, m
     """``(key, label, cluster)`` of the cheapest of ``runs`` restarts, k = distinct labels."""
     data = vectors.select(key, label, "features").persist()
     k = data.select(label).distinct().count()
-    models = [KMeans(k=k, maxIter=max_iter, seed=seed + run).fit(data) for run in range(runs)]
+    with ThreadPool(4) as pool:
+        models = pool.map(lambda run: KMeans(k=k, maxIter=max_iter, seed=seed + run).fit(data), range(runs))
     best = min(models, key=lambda m: m.summary.trainingCost)
     data.unpersist()
     assigned = best.transform(vectors).withColumnRenamed("prediction", "cluster")

@@ -49,7 +49,9 @@ def require_route(pages: DataFrame, rule: BodyRule, url: str = "url") -> DataFra
 def with_body(pages: DataFrame, rules=SITE_RULES, html: str = "html", rule_no: str = "rule_no") -> DataFrame:
     """Add ``body``, the text that rule ``rule_no`` finds in ``html``, null without one.
 
-    Only the two input columns travel to Python, in Arrow batches.
+    Only the two input columns travel to Python, in Arrow batches. The function is
+    declared non-deterministic because Catalyst would otherwise repeat it below
+    joins and in filters, and each page should be parsed once.
     """
     rules = tuple(rules)
 
@@ -57,7 +59,7 @@ def with_body(pages: DataFrame, rules=SITE_RULES, html: str = "html", rule_no: s
     def body(pages_html: pd.Series, numbers: pd.Series) -> pd.Series:
         return pd.Series([page_body(h, rules[n]) for h, n in zip(pages_html, numbers)], dtype=object)
 
-    return pages.withColumn("body", body(F.col(html), F.col(rule_no)))
+    return pages.withColumn("body", body.asNondeterministic()(F.col(html), F.col(rule_no)))
 
 
 def nonempty(df: DataFrame, column: str) -> DataFrame:
