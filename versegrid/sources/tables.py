@@ -34,11 +34,15 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def read_tsv(spark: SparkSession, path: str | list[str], schema: StructType) -> DataFrame:
-    """Tab-separated text with a header and no quoting; several paths are united."""
-    return spark.read.schema(schema).csv(
+    """Tab-separated text with a header and no quoting; several paths are united.
+
+    Unquoted text has no null, so an empty text field is the empty string.
+    """
+    rows = spark.read.schema(schema).csv(
         path, sep="\t", header=True, quote="", escape="", encoding="UTF-8",
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="",
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     )
+    return rows.na.fill("")
 
 
 def write_tsv(df: DataFrame, path: str) -> None:
