@@ -37,6 +37,9 @@ STEP3 = {
 STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent",
          "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
 
+# Last letters of the words that any step can change.
+CHANGING_ENDS = sorted({suffix[-1] for suffix in (*STEP2, *STEP3, *STEP4, "s", "ed", "ing", "y", "e", "ll")})
+
 # A ``y`` is a vowel after a consonant and a consonant elsewhere.
 _CONSONANTS = "[^aeiou][^aeiouy]*"
 _FIRST_VOWELS = f"^(?:{_CONSONANTS}[aeiouy]|[aeiou])[aeiou]*"
@@ -158,4 +161,4 @@ def stem(word: Column) -> Column:
     for step in steps:
         held = F.transform(held, step)
     irregular = F.create_map(*[F.lit(part) for pair in IRREGULAR.items() for part in pair])
-    return F.coalesce(F.when(F.length(word) <= 2, word), F.try_element_at(irregular, word), held[0])
+    return F.coalesce(F.when((F.length(word) <= 2) | ~F.right(word, F.lit(1)).isin(*CHANGING_ENDS), word), F.try_element_at(irregular, word), held[0])

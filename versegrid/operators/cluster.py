@@ -7,6 +7,7 @@ from multiprocessing.pool import ThreadPool
 from pyspark.ml.clustering import KMeans
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from versegrid.operators.neighbours import Neighbourhood, both_ways, rep_degrees
 from versegrid.operators.ranking import global_row_number
@@ -136,15 +137,18 @@ def affinity_propagation(nodes: DataFrame, edges: DataFrame, damping: float = 0.
 def _message_round(state: DataFrame, damping: float) -> DataFrame:
     """One exchange of responsibilities ``r`` and availabilities ``a`` along ``(i, k, s, r, a)``.
 
-    Both need only a sum or the two largest values per end of an edge, and those
-    are combined before they shuffle, so a hub with many edges stays cheap.
+    The two largest values per sender are ranked with a limit that Spark applies
+    before the shuffle, and sums combine before theirs, so a hub with many edges
+    sends a few rows per task.
     """
     value = F.col("a") + F.col("s")
-    best = state.groupBy("i").agg(F.max(F.struct(value.alias("v"), F.col("k").alias("k"))).alias("_best"))
-    ranked = state.join(best, "i")
-    second = ranked.groupBy("i").agg(F.max(F.when(F.col("k") != F.col("_best.k"), value)).alias("_second"))
-    rival = F.when(F.col("k") != F.col("_best.k"), F.col("_best.v")).otherwise(F.col("_second"))
-    sent = ranked.join(second, "i").withColumn(
+    order = W.partitionBy("i").orderBy(F.desc("v"), "k")
+    two = state.select("i", "k", value.alias("v")).withColumn("_n", F.row_number().over(order)).filter("_n <= 2")
+    tops = two.groupBy("i").agg(
+        F.max(F.when(F.col("_n") == 1, F.col("k"))).alias("_k"), F.max(F.when(F.col("_n") == 1, F.col("v"))).alias("_first"),
+        F.max(F.when(F.col("_n") == 2, F.col("v"))).alias("_second"))
+    rival = F.when(F.col("k") != F.col("_k"), F.col("_first")).otherwise(F.col("_second"))
+    sent = state.join(tops, "i").withColumn(
         "r", damping * F.col("r") + (1 - damping) * (F.col("s") - F.coalesce(rival, F.lit(0.0))))
     sent = sent.select("i", "k", "s", "r", "a")
     is_own = F.col("i") == F.col("k")
