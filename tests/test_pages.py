@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from versegrid.functions.html_body import SITE_RULES, BodyRule, page_body
 from versegrid.operators import pages as P
