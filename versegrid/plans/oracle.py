@@ -214,10 +214,13 @@ SELECT round(CASE WHEN abs(hc) < 1e-15 THEN 1 ELSE 1 - hck / hc END, 6) AS homog
 
 
 def _plain(markup: str) -> str:
-    """Text of well-formed markup: tags dropped, the entities that the pages use resolved."""
+    """Text of well-formed markup: tags dropped, the entities that the pages use resolved.
+
+    HTML also resolves these names without their semicolon, as some cut-off texts have them.
+    """
     c = f"regexp_replace({markup}, '<[^>]*>', '', 'g')"
     for entity, char in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        c = f"replace({c}, '{entity}', '{char}')"
+        c = f"regexp_replace({c}, '{entity}?', '{char}', 'g')"
     return c
 
 
