@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,3 +42,13 @@ def unit_hash(*parts: Column, seed: str) -> Column:
 def crc_mod(column: Column, n: int) -> Column:
     """crc32 of the column as text, modulo ``n``; null counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % n
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
+def in_order(last: Column) -> Column:
+    """The array 0 .. ``last``, empty if ``last`` is negative."""
+    return F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))

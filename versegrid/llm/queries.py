@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versegrid.llm import mixing
+from versegrid.llm import decontaminate, mixing, secrets, syncmers, token_files
 from versegrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +55,57 @@ SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM (
               + (u < target / source_size - floor(target / source_size))::BIGINT ELSE 0 END AS copies
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 """
+
+
+@register
+def op7_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    items = table(spark, folder, "benchmark").select("item_id", "text")
+    return decontaminate.contamination(docs, items).select("doc_id", "found.*")
+
+
+ORACLE["op7_decontaminate"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents),
+i AS (
+  SELECT item_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM benchmark),
+il AS (SELECT item_id, w, least(len(w), 13) AS span FROM i WHERE len(w) > 0),
+iw AS (SELECT item_id, span, array_to_string(w[s:s + span - 1], ' ') AS run
+       FROM il, LATERAL (SELECT unnest(range(1, len(w) - span + 2)) AS s)),
+dw AS (SELECT r, s, span, array_to_string(w[s:s + span - 1], ' ') AS run
+       FROM d, (SELECT DISTINCT span FROM iw) n, LATERAL (SELECT unnest(range(1, len(w) - span + 2)) AS s)),
+m AS (SELECT DISTINCT r, s, dw.span, item_id FROM dw JOIN iw USING (span, run)),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit
+        FROM m, LATERAL (SELECT unnest(range(s, s + span)) AS p) GROUP BY r),
+ids AS (SELECT r, count(DISTINCT item_id) AS n_items,
+               string_agg(DISTINCT coalesce(item_id::VARCHAR, ''), ',' ORDER BY coalesce(item_id::VARCHAR, '')) AS listed
+        FROM m GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN ids USING (r)
+"""
+
+
+@register
+def op10_syncmers(spark: SparkSession, folder: str) -> DataFrame:
+    """Syncmer fingerprints of every text and its edited text."""
+    return syncmers.fingerprints(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@register
+def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document, written to files and read back."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return token_files.token_index(token_files.write_tokens(docs, tokenizer, token_files.default_folder(spark)))
+
+
+@register
+def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secret spans of every document."""
+    return secrets.secret_spans(table(spark, folder, "documents"))
