@@ -28,10 +28,11 @@ from versegrid.session import stage
 
 SPAN = 13
 NGRAM = 5
-#: Words after lower-casing A-Z: runs of digits, small letters and anything outside ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words after lower-casing A-Z: runs of digits, small letters and anything outside
+#: ASCII. Java finds these ranges several times faster than the complement of the others.
+WORD = r"[0-9a-z\x80-\x{10FFFF}]+"
 #: The same words before lower-casing, for counting.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+RAW_WORD = r"[0-9A-Za-z\x80-\x{10FFFF}]+"
 #: A kept hash has its word position in the low bits; an array cannot have more elements than these can count.
 PLACE_BITS = 28
 PLACE_MASK = (1 << PLACE_BITS) - 1
