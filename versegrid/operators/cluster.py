@@ -29,33 +29,38 @@ def kmeans(vectors: DataFrame, key: str, label: str = "label", runs: int = 10, m
     return assigned.select(key, label, "cluster")
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """``(node, root)``: smallest node of each component.
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(node, root)``: smallest node of each component; ``edges`` is ``(a, b)``.
 
-    ``edges`` is ``(a, b)``. A round takes the smallest root among neighbours and then
-    the root of that root, so long chains halve instead of shrinking by one.
+    Alternating large and small stars (Kiveris et al. 2014) until the edges stay the
+    same; there is no limit on rounds. Neighbours are never gathered: the smallest one
+    of each node is an aggregate that joins back, so a hub is split like any hot key.
     """
-    both = edges.select(F.explode(F.array(
-        F.struct(F.col("a").alias("node"), F.col("b").alias("other")),
-        F.struct(F.col("b").alias("node"), F.col("a").alias("other")),
-    )).alias("e")).select("e.node", "e.other").distinct()
-    both = stage(both, "component-edges")
-    roots = stage(nodes.select("node", F.col("node").alias("root")), "component-roots")
-    for _ in range(max_rounds):
-        offered = both.join(roots.select(F.col("node").alias("other"), "root"), "other").groupBy("node").agg(
-            F.min("root").alias("_offer"))
-        lowered = roots.join(offered, "node", "left").select(
-            "node", F.col("root").alias("_old"), F.least("root", F.coalesce("_offer", "root")).alias("root"))
-        above = roots.select(F.col("node").alias("root"), F.col("root").alias("_above"))
-        jumped = lowered.join(above, "root", "left").select(
-            "node", "_old", F.least("root", F.coalesce("_above", "root")).alias("root"))
-        new = stage(jumped, "component-roots")
-        changed = new.filter(F.col("_old") != F.col("root")).limit(1).count()
-        drop_staged(roots)
-        roots = new.select("node", "root")
-        if not changed:
-            return roots
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    pairs = stage(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
+                  "component-edges")
+    mark = _edge_mark(pairs)
+    while mark[0]:
+        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("low", "u").alias("low"))
+        large = stage(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct(),
+                      "component-edges")
+        low = large.groupBy("u").agg(F.min("v").alias("low"))
+        moved = large.join(low, "u").filter("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        new = stage(moved.unionByName(low.withColumnRenamed("low", "v")).distinct(), "component-edges")
+        drop_staged(large)
+        before, mark = mark, _edge_mark(new)
+        drop_staged(pairs)
+        pairs = new
+        if mark == before:
+            break
+    return nodes.join(pairs.withColumnsRenamed({"u": "node", "v": "root"}), "node", "left").select(
+        "node", F.coalesce("root", "node").alias("root"))
+
+
+def _edge_mark(edges: DataFrame) -> tuple:
+    """Count and two order-free sums of an edge table; equal tables have equal marks."""
+    return tuple(edges.select(F.xxhash64("u", "v").alias("h")).agg(
+        F.count("*"), F.bit_xor("h"), F.sum(F.shiftright("h", 20))).first())
 
 
 def dbscan(near: Neighbourhood, key: str, min_samples: int = 5) -> DataFrame:
