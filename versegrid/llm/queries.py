@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versegrid.llm import decontaminate, mixing, secrets, syncmers, token_files
+from versegrid.llm import decontaminate, mixing, near_dedup, secrets, syncmers, token_files
 from versegrid.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,28 @@ def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
 def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Secret spans of every document."""
     return secrets.secret_spans(table(spark, folder, "documents"))
+
+
+@register
+def op2_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate component of every document, on four-word shingles."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return near_dedup.near_duplicates(docs, shingle=4).select(
+        F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
+
+
+ORACLE["op2_near_dedup"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[s:s + least(len(w), 4) - 1], ' ') AS g
+      FROM d, LATERAL (SELECT unnest(range(1, len(w) - least(len(w), 4) + 2)) AS s) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+c AS (SELECT a AS doc_id, min(b) AS low FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id,
+       d.doc_id <= coalesce(low, d.doc_id) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
