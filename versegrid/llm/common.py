@@ -52,3 +52,26 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def in_order(last: Column) -> Column:
     """The array 0 .. ``last``, empty if ``last`` is negative."""
     return F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+
+
+#: Bits of the map in :func:`reduced`: 256 rows of 4 KB.
+MAP_BITS = 1 << 23
+
+
+def reduced(rows: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those whose ``column`` is not among ``keys``, so that a later join moves less.
+
+    The keys set bits in a map whose size is fixed at 1 MB, which is what bounds its
+    broadcast. Rows whose bit is set stay, by chance also some that match no key; with
+    far more keys than bits all rows stay. No row with a key in ``keys`` goes.
+    """
+    def bit(c: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
+
+    block, place, bits = fresh(rows, "map_block"), fresh(rows, "map_place"), fresh(rows, "map_bits")
+    marks = keys.select(F.shiftright(bit(key), 15).alias(block), bit(key).bitwiseAND(F.lit(32767)).alias("p")).groupBy(block).agg(
+        F.bitmap_construct_agg("p").alias(bits))
+    placed = rows.withColumns({block: F.shiftright(bit(column), 15), place: bit(column).bitwiseAND(F.lit(32767)).cast("int")})
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.expr(f"1 << ({place} & 7)").bitwiseAND(byte) != 0
+    return placed.join(F.broadcast(marks), block).filter(is_set).select(*rows.columns)

@@ -36,6 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from versegrid.llm.common import reduced
 from versegrid.operators.cluster import connected_components
 from versegrid.session import stage
 
@@ -215,7 +216,8 @@ def class_links(sig: DataFrame, docs: DataFrame, key: str, text: str, shingle: i
         level = stage(level.join(shared.select("bucket", "first"), "bucket"), "near-buckets")
         if texts is None:
             wanted = level.select("class").distinct().join(one.select("class", "key"), "class")
-            found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(wanted, "key")
+            wanted = stage(wanted, "near-wanted")
+            found = reduced(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", wanted, "key").join(wanted, "key")
             texts = stage(_of_class(found.select("class", "text"), shingle).dropDuplicates(["class"]), "near-texts")
         for stars in (True, False):
             if stars:

@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versegrid.llm import decontaminate, mixing, near_dedup, secrets, syncmers, token_files
-from versegrid.llm.common import table
+from versegrid.llm import decontaminate, language, mixing, near_dedup, repeated_units, secrets, syncmers, token_files, warc
+from versegrid.llm.common import crc_mod, table
+from versegrid.session import staging_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -134,3 +135,39 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(
        d.doc_id <= coalesce(low, d.doc_id) AS kept
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
+
+
+@register
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page, written to archives and read back."""
+    archives = staging_path(spark, "warc")
+    warc.write_archives(table(spark, folder, "pages").select("page_id", "url", "html"), archives)
+    return warc.page_records(warc.read_archives(spark, archives))
+
+
+ORACLE["op3_warc"] = r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes,
+                  sha1(coalesce(html, '')) AS hex, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+SELECT page_id, payload_bytes,
+       (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+          ((('0x' || substr(hex, 10 * (i // 8) + 1, 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INT + 1, 1), '' ORDER BY i)
+        FROM range(32) t(i)) AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id < first THEN first END AS refers_to
+FROM p
+"""
+
+
+@register
+def op5_repeated_units(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line or sentence that repeats an earlier one, with its offsets and those of the one kept."""
+    return repeated_units.repeated(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@register
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every document; two thirds of the documents train."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = crc_mod(F.col("doc_id"), 3) == 1
+    learned = language.prototypes(docs.filter(~held_out))
+    return language.predictions(docs, learned, "doc_id", "text", held_out.alias("held_out"))
