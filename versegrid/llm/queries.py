@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versegrid.llm import decontaminate, language, mixing, near_dedup, repeated_units, secrets, syncmers, token_files, warc
+from versegrid.llm import decontaminate, language, lm_scoring, mixing, near_dedup, repeated_units, secrets, syncmers, token_files, warc
 from versegrid.llm.common import crc_mod, table
 from versegrid.session import staging_path
 
@@ -171,3 +171,11 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     held_out = crc_mod(F.col("doc_id"), 3) == 1
     learned = language.prototypes(docs.filter(~held_out))
     return language.predictions(docs, learned, "doc_id", "text", held_out.alias("held_out"))
+
+
+@register
+def op9_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    """Base and interpolated score of every document; six sevenths of the documents train."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return lm_scoring.score_documents(docs, crc_mod(F.col("doc_id"), 7) == 2).select(
+        F.col("key").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
