@@ -112,10 +112,10 @@ def shared_windows(docs: DataFrame, items: DataFrame, text: str = "text", item_t
 
 
 def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id",
-                  item_text: str = "text", span: int = SPAN) -> DataFrame:
-    """``docs`` with a struct ``found`` of n_words, n_hit, n_items, items_sha256 and contaminated.
+                  item_text: str = "text", span: int = SPAN, name: str = "found") -> DataFrame:
+    """``docs`` with a struct ``name`` of n_words, n_hit, n_items, items_sha256 and contaminated.
 
-    A column named ``found`` is replaced.
+    A column of that name is replaced.
     """
     windows = stage(shared_windows(docs, items, text, item_text, span), "bench-windows")
     # words inside any window: each window adds what reaches beyond those before it
@@ -138,4 +138,10 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id
         n.alias("n_words"), n_hit.alias("n_hit"), F.size(listed_ids).cast("long").alias("n_items"),
         F.sha2(F.array_join(listed_ids, ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= n)).alias("contaminated"))
-    return joined.withColumn("found", found).drop(digest, f"{digest}_2", f"{digest}_hit", f"{digest}_ids")
+    return joined.withColumn(name, found).drop(digest, f"{digest}_2", f"{digest}_hit", f"{digest}_ids")
+
+
+def decontaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """``docs`` without the contaminated ones."""
+    name = fresh(docs, "found")
+    return contamination(docs, items, name=name, **options).filter(~F.col(name)["contaminated"]).drop(name)

@@ -106,26 +106,44 @@ def prototypes(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[
     return {k: v - mean for k, v in unit.items()} | ({"": mean} if len(unit) > 1 else {})
 
 
-def predictions(docs: DataFrame, learned: dict[str, np.ndarray], key: str = "doc_id", text: str = "text",
-                *kept: Column) -> DataFrame:
-    """``(key, …kept, lang_pred, score)``; the score is the cosine, 0 where it is negative."""
+def _judge(learned: dict[str, np.ndarray]):
+    """A function from a text to its language and score."""
     names = [n for n in learned if n]
     matrix = np.array([learned[n] / (np.linalg.norm(learned[n]) or 1) for n in names])
     mean = learned.get("")
 
+    def judge(text: str | None) -> tuple[str, float]:
+        own = bundle(text) if names else None
+        if own is None:
+            return UNKNOWN, 0.0
+        own = own if mean is None else own - mean
+        near = matrix @ own / (np.linalg.norm(own) or 1)
+        k = int(near.argmax())
+        return names[k], float(min(1.0, max(0.0, near[k])))
+
+    return judge
+
+
+def recognised(docs: DataFrame, learned: dict[str, np.ndarray], text: str = "text", least: float = 0.0) -> DataFrame:
+    """``docs`` without those of no known language: no letters, or a cosine of ``least`` or below to every prototype."""
+    def keep(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = _judge(learned)
+        for batch in stream:
+            found = [judge(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            yield batch.filter(pa.array([name != UNKNOWN and score > least for name, score in found], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
+def predictions(docs: DataFrame, learned: dict[str, np.ndarray], key: str = "doc_id", text: str = "text",
+                *kept: Column) -> DataFrame:
+    """``(key, …kept, lang_pred, score)``; the score is the cosine, 0 where it is negative."""
     def predict(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = _judge(learned)
         for batch in stream:
-            best, scores = [], []
-            for t in batch.column(batch.num_columns - 1).to_pylist():
-                own = bundle(t) if names else None
-                if own is None:
-                    best.append(UNKNOWN), scores.append(0.0)
-                    continue
-                own = own if mean is None else own - mean
-                near = matrix @ own / (np.linalg.norm(own) or 1)
-                k = int(near.argmax())
-                best.append(names[k]), scores.append(float(min(1.0, max(0.0, near[k]))))
-            yield pa.record_batch([*batch.columns[:-1], pa.array(best, pa.string()), pa.array(scores, pa.float64())],
+            found = [judge(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.record_batch([*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()),
+                                   pa.array([f[1] for f in found], pa.float64())],
                                   names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
     source = docs.select(key, *kept, F.col(text).alias("lang_text"))

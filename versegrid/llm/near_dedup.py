@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from versegrid.llm.common import reduced
+from versegrid.llm.common import reduced, without
 from versegrid.operators.cluster import connected_components
 from versegrid.session import stage
 
@@ -263,3 +263,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     alike = F.when(F.col("key").isNotNull(), F.coalesce("component", "key"))
     joined = rooted.join(smallest, "root", "left").select("key", "n_shingles", alike.alias("component"))
     return joined.withColumn("kept", F.coalesce(F.col("key") == F.col("component"), F.lit(True)))
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
+                 threshold: int = THRESHOLD) -> DataFrame:
+    """``docs`` with one document of each group, the one with the smallest key; of rows with one key one stays."""
+    found = stage(near_duplicates(docs, key, text, shingle, threshold), "near-components")
+    gone = found.filter("NOT kept").select("key")
+    again = stage(found.filter("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "near-repeats")
+    rows = without(docs, key, gone.unionByName(again), "key")
+    if again.isEmpty():
+        return rows
+    single = without(docs.join(again.select(F.col("key").alias(key)), key, "left_semi").select(*docs.columns), key, gone, "key")
+    return rows.unionByName(single.dropDuplicates([key]))
