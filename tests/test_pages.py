@@ -11,10 +11,10 @@ OK = {
     "lyricsmode": ["http://www.lyricsmode.com/lyrics/a/ac_dc/t_n_t.html", "http://www.lyricsmode.com/lyrics/0-9/10000_maniacs/because_the_night.html"],
     "azlyrics": ["http://www.azlyrics.com/lyrics/10000maniacs/eatfortwo.html?x=1"],
 }
-REFUSED = ["http://anothersite.com/no-one-lyrics-alicia-keys.html", "http://www.metrolyrics.com/asdflaerjd.html",
-           "http://www.lyrics.com/asdflaerjd.html", "http://www.lyricsmode.com/lyrics/asdflaerjd.html",
-           "http://www.lyricsmode.com/lyrics/7/a/b.html", "http://www.azlyrics.com/lyrics/asdflaerjd.html",
-           "x http://www.lyrics.com/tnt-lyrics-acdc.html"]
+REFUSED = ["http://elsewhere.example/one-lyrics-two.html", "http://www.metrolyrics.com/onlyonepart.html",
+           "http://www.lyrics.com/No-Capitals-lyrics-here.html", "http://www.lyricsmode.com/lyrics/too-short.html",
+           "http://www.lyricsmode.com/lyrics/78/a/b.html", "http://www.azlyrics.com/lyrics/a-dash/song.html",
+           "x http://www.lyrics.com/one-lyrics-two.html"]
 
 
 def test_routing(spark):
@@ -79,6 +79,10 @@ def test_reachable_stops_at_redirects_and_gaps(spark):
     landed = spark.createDataFrame(rows, "idx string, page int, url string, final_url string")
     assert {r.url for r in P.reachable(landed, ["idx"]).collect()} == {"u1", "u2", "x1"}
     assert {r.url for r in P.reachable(landed, ["idx"], max_depth=1).collect()} == {"u1", "x1"}
+    twice = P.reachable(landed.union(landed), ["idx"]).collect()
+    assert sorted(r.url for r in twice) == ["u1", "u1", "u2", "u2", "x1", "x1"]
+    long = spark.createDataFrame([("a", i, f"u{i}", f"u{i}") for i in range(1, 301)], landed.schema)
+    assert P.reachable(long, ["idx"]).count() == 300
 
 
 def _artist_list(*rows):
@@ -106,4 +110,6 @@ def test_crawl(spark):
         "url string, final_url string, html string")
     got = [tuple(r) for r in jobs.crawl(lists, songs).orderBy("trackid").collect()]
     assert got == [(1, "s1", "X & Co", "One"), (2, "s2", "X & Co", "Two"), (3, "s3", "X & Co", "Three"),
-                   (4, "s4", "Lyrics Band", "Four"), (5, "s5", "A's", "Five")]
+                   (4, "s4", "Lyrics Band", "Four"), (5, "s5", "A's", "Five"), (6, "s1", "A's", "One again")]
+    twice = [tuple(r) for r in jobs.crawl(lists.union(lists), songs.union(songs)).orderBy("trackid").collect()]
+    assert twice == got

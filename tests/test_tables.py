@@ -97,3 +97,26 @@ def test_staged_tables_go_away(spark, tmp_path):
     drop_staged(df)
     import os
     assert files and not any(os.path.exists(f.removeprefix("file://")) for f in files)
+
+
+def test_tsv_refuses_what_it_cannot_hold(spark, tmp_path):
+    import pytest
+
+    for i, bad in enumerate(("a\tb", "a\nb", "a\rb", "a\x00b")):
+        df = spark.createDataFrame([(1, bad)], "trackid long, artist string")
+        with pytest.raises(Exception, match="cannot be written as TSV"):
+            S.write_tsv(df, str(tmp_path / str(i)))
+
+
+def test_session_keeps_what_the_job_sets():
+    """A submitted master and shuffle count survive; run apart, as a process has one session."""
+    import os
+    import subprocess
+    import sys
+
+    code = ("from versegrid.session import build_session; s = build_session(); "
+            "print(s.sparkContext.master, s.conf.get('spark.sql.shuffle.partitions'))")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = os.environ | {"PYTHONPATH": root, "PYSPARK_SUBMIT_ARGS": "--master local[3] --conf spark.sql.shuffle.partitions=77 pyspark-shell"}
+    out = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=300)
+    assert out.stdout.split()[-2:] == ["local[3]", "77"], out.stderr[-500:]

@@ -7,6 +7,7 @@ from versegrid.functions.urls import track_url
 
 METRO, LCOM = "http://www.metrolyrics.com", "http://www.lyrics.com"
 MODE, AZ = "http://www.lyricsmode.com/lyrics", "http://www.azlyrics.com/lyrics"
+# Expected addresses of the supported sites.
 URLS = [
     ("metrolyrics", "Alicia Keys", "No One", METRO + "/no-one-lyrics-alicia-keys.html"),
     ("metrolyrics", "AC/DC", "T.N.T.", METRO + "/tnt-lyrics-acdc.html"),
@@ -44,8 +45,20 @@ def test_slugs(column):
 
 
 def test_fold(column):
-    assert column(T.fold_ascii, "Beyoncé Æsop — “Straße”…", "Łódź", "plain", "Привет x", "Ǻ ½ ™") == [
-        'Beyonce AEsop -- "Strasse"...', "Lodz", "plain", " x", "A 1/2 (tm)"]
+    assert column(T.fold_ascii, "Beyoncé Æsop — “Straße”…", "Łódź", "plain", "Привет x", "Ǻ ½ ™", "Щёлк", "Ἀθήνα Ψυχή",
+                  "さくら カタカナ チャ") == [
+        'Beyonce AEsop -- "Strasse"...', "Lodz", "plain", "Privet x", "A 1/2 (tm)", "Shchelk", "Athena Psukhe",
+        "sakura katakana chiya"]
+
+
+def test_malformed_bytes_are_replaced(spark):
+    df = spark.createDataFrame([(bytearray(b"a\xff\xc3\xa9\xe2\x82b"),), (bytearray(b""),), (None,)], "v binary")
+    assert [r[0] for r in df.select(T.utf8_text(F.col("v"))).collect()] == ["a\ufffdé\ufffdb", "", None]
+
+
+def test_y_behind_a_vowel_is_a_consonant(column):
+    words = "heyy heyyy sayy happyy yy yyy enjoy happy fly by cry"
+    assert column(stem, *words.split()) == ["heyi", "heyyy", "sayi", "happyy", "yy", "yyy", "enjoy", "happi", "fli", "by", "cri"]
 
 
 def test_inline(column):

@@ -101,7 +101,10 @@ def _past_mend(w: Column) -> Column:
 
 
 def _final_y(w: Column) -> Column:
-    return F.when(w.endswith("y") & w.rlike("^.+[^aeiouy]y$"), F.concat(_cut(w, F.lit(1)), F.lit("i"))).otherwise(w)
+    """``y`` becomes ``i`` behind a consonant that is not the first letter; a ``y`` behind a vowel is a consonant."""
+    rest = _cut(w, F.lit(1))
+    behind = rest.rlike("(?:[^aeiouy]|(?:^|[aeiou])y(?:yy)*|[^aeiouy](?:yy)+)$")
+    return F.when(w.endswith("y") & (F.length(w) > 2) & behind, F.concat(rest, F.lit("i"))).otherwise(w)
 
 
 def _double_al(w: Column) -> Column:

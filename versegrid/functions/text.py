@@ -31,6 +31,25 @@ SPECIAL_FOLDS = {
     "‘": "'", "’": "'", "‚": ",", "“": '"', "”": '"', "„": '"', "†": "+",
     "•": "*", "…": "...", "‹": "<", "›": ">", "€": "EUR", "™": "(tm)",
 }
+# ASCII spellings of Greek and Cyrillic small letters; capitals take the same with a capital first letter.
+SCRIPT_FOLDS = {
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m",
+    "ν": "n", "ξ": "x", "ο": "o", "π": "p", "ρ": "r", "ς": "s", "σ": "s", "τ": "t", "υ": "u", "φ": "ph", "χ": "kh", "ψ": "ps", "ω": "o",
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ж": "zh", "з": "z", "и": "i", "й": "i", "к": "k", "л": "l", "м": "m",
+    "н": "n", "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh",
+    "щ": "shch", "ъ": '"', "ы": "y", "ь": "'", "э": "e", "ю": "iu", "я": "ia", "ђ": "dj", "є": "ie", "ѕ": "dz", "і": "i", "ј": "j",
+    "љ": "lj", "њ": "nj", "ћ": "tsh", "џ": "dzh", "ґ": "g",
+}
+# Kana rows by consonant, vowels in order, and the syllables that the Hepburn system spells otherwise.
+KANA_ROWS = {
+    "": "あいうえお", "k": "かきくけこ", "g": "がぎぐげご", "s": "さしすせそ", "z": "ざじずぜぞ", "t": "たちつてと", "d": "だぢづでど",
+    "n": "なにぬねの", "h": "はひふへほ", "b": "ばびぶべぼ", "p": "ぱぴぷぺぽ", "m": "まみむめも", "r": "らりるれろ",
+}
+KANA_SPECIAL = {
+    "し": "shi", "じ": "ji", "ち": "chi", "つ": "tsu", "づ": "zu", "ふ": "fu", "や": "ya", "ゆ": "yu", "よ": "yo", "わ": "wa", "を": "wo", "ん": "n",
+    "ぁ": "a", "ぃ": "i", "ぅ": "u", "ぇ": "e", "ぉ": "o", "っ": "tsu", "ゃ": "ya", "ゅ": "yu", "ょ": "yo", "ー": "-",
+}
+OTHER_SCRIPTS = "[\u0370-\u04ff\u1f00-\u1fff\u3041-\u30ff]"
 # Latin-1 Supplement to Latin Extended-B, Latin Extended Additional.
 LATIN_BLOCKS = ((0x00A0, 0x024F), (0x1E00, 0x1EFF))
 
@@ -56,12 +75,37 @@ def fold_tables() -> tuple[str, str, dict[str, str]]:
 FOLD_FROM, FOLD_TO, FOLD_LONGER = fold_tables()
 
 
+def script_table() -> dict[str, str]:
+    """ASCII spelling of Greek and Cyrillic letters, accented ones too, and of kana."""
+    folds = dict(SCRIPT_FOLDS)
+    for consonant, row in KANA_ROWS.items():
+        folds.update({kana: consonant + vowel for kana, vowel in zip(row, "aiueo")})
+    folds.update(KANA_SPECIAL)
+    # katakana stand in the order of hiragana
+    folds.update({chr(ord(k) + 0x60): v for k, v in folds.items() if "\u3041" <= k <= "\u3096"})
+    folds.update({k.upper(): v.capitalize() for k, v in folds.items() if len(k.upper()) == 1 and k.upper() != k})
+    for code in (*range(0x370, 0x500), *range(0x1F00, 0x2000)):
+        parts = unicodedata.normalize("NFKD", chr(code))
+        base = "".join(p for p in parts if not unicodedata.combining(p))
+        if chr(code) not in folds and base in folds:
+            folds[chr(code)] = folds[base]
+    return folds
+
+
+def fold_scripts(c: Column) -> Column:
+    """Greek, Cyrillic and kana letters in ASCII, one by one; other characters stay."""
+    table = F.create_map(*[F.lit(x) for pair in script_table().items() for x in pair])
+    spelled = F.transform(F.split(c, ""), lambda x: F.when(x.rlike(OTHER_SCRIPTS), F.coalesce(F.try_element_at(table, x), x)).otherwise(x))
+    return F.when(c.rlike(OTHER_SCRIPTS), F.array_join(spelled, "")).otherwise(c)
+
+
 def fold_ascii(c: Column) -> Column:
-    """ASCII spelling of Latin text; characters without one are dropped.
+    """ASCII spelling of Latin, Greek, Cyrillic and kana text; characters without one are dropped.
 
-    Pure ASCII values, the bulk of most corpora, skip the replacement chain.
+    Pure ASCII values, the bulk of most corpora, skip the replacement chain, and texts
+    without letters of other scripts skip the table of those.
     """
-    folded = c
+    folded = fold_scripts(c)
     for char, spelling in FOLD_LONGER.items():
         folded = F.replace(folded, F.lit(char), F.lit(spelling))
     folded = F.translate(folded, FOLD_FROM, FOLD_TO)
@@ -82,7 +126,7 @@ def clean_text(c: Column) -> Column:
 
 def utf8_text(c: Column) -> Column:
     """Text of a binary column read as UTF-8, malformed bytes replaced."""
-    return F.decode(c, "UTF-8")
+    return F.make_valid_utf8(c.cast("string"))
 
 
 def replace_last(c: Column, old: str, new: str, occurrences: int = 1) -> Column:

@@ -16,7 +16,6 @@ from versegrid.operators.ranking import global_row_number
 # Index letters and address of the artist lists.
 ARTIST_INDICES = ("1",) + tuple("abcdefghijklmnopqrstuvwxyz")
 ARTISTS_PAGE = "http://www.metrolyrics.com/artists-%s-%d.html"
-MAX_DEPTH = 100
 
 
 def route(url: Column, rules=SITE_RULES) -> Column:
@@ -111,7 +110,7 @@ def plain_text(markup: Column) -> Column:
 
 def list_links(pages: DataFrame, keys: list[str], layout: LinkLayout, compat: bool = False) -> DataFrame:
     """``(*keys, pos, href, name)``: one link per row of the page's list."""
-    inner = F.regexp_extract("html", layout.container, 1)
+    inner = F.regexp_replace(F.regexp_extract("html", layout.container, 1), r"(?is)<thead\b.*?</thead>", "")
     pieces = F.split(inner, layout.row)
     rows = pages.select(*keys, F.posexplode(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))))
                         .alias("pos", "_row"))
@@ -138,29 +137,44 @@ def songs_page_url(pattern: Column, page: Column) -> Column:
     return F.replace(pattern, F.lit("{}"), page.cast("string"))
 
 
-def artist_pages(spark: SparkSession, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """``(idx_ord, idx, page, url)`` of the artist lists, 27 indices of ``max_depth`` pages."""
+def artist_page_url(idx_ord: Column, page: Column) -> Column:
+    """Address of a page of the artist list with the given index number."""
+    idx = F.get(F.array(*[F.lit(i) for i in ARTIST_INDICES]), idx_ord)
+    return F.format_string(ARTISTS_PAGE, idx, page)
+
+
+def artist_pages(spark: SparkSession, max_depth: int) -> DataFrame:
+    """``(idx_ord, idx, page, url)`` to ask for: 27 artist lists of ``max_depth`` pages."""
     indices = spark.createDataFrame(list(enumerate(ARTIST_INDICES)), "idx_ord int, idx string")
     pages = indices.withColumn("page", F.explode(F.sequence(F.lit(1), F.lit(max_depth))))
-    return pages.withColumn("url", F.format_string(ARTISTS_PAGE, "idx", "page"))
+    return pages.withColumn("url", artist_page_url(F.col("idx_ord"), F.col("page")))
 
 
-def reachable(landed: DataFrame, group: list[str], max_depth: int = MAX_DEPTH) -> DataFrame:
+def reachable(landed: DataFrame, group: list[str], max_depth: int | None = None) -> DataFrame:
     """Pages read before the first redirect or missing page of their list.
 
-    ``landed`` has one row per answered ``page`` of a list, with ``url`` and
-    ``final_url``. A list has at most ``max_depth`` pages, which bounds the window.
+    ``landed`` has a row per answered ``page`` of a list, with ``url`` and
+    ``final_url``; a page that landed several times has several. ``max_depth`` ends
+    all lists early, as a live crawl would. Pass keys only: the rows of a list meet
+    in one window.
     """
-    within = landed.filter((F.col("page") >= 1) & (F.col("page") <= max_depth))
+    within = landed.filter(F.col("page") >= 1)
+    if max_depth is not None:
+        within = within.filter(F.col("page") <= max_depth)
     order = W.partitionBy(*group).orderBy("page")
-    answered = (F.col("url") == F.col("final_url")) & (F.row_number().over(order) == F.col("page"))
+    answered = (F.col("url") == F.col("final_url")) & (F.dense_rank().over(order) == F.col("page"))
     judged = within.withColumn("_bad", ~F.coalesce(answered, F.lit(False)))
-    so_far = F.max("_bad").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    so_far = F.max("_bad").over(order.rangeBetween(W.unboundedPreceding, W.currentRow))
     return judged.withColumn("_stopped", so_far).filter(~F.col("_stopped")).drop("_bad", "_stopped")
 
 
+def asked_as(url: Column) -> tuple[Column, Column]:
+    """Address pattern and page number under which a landed songs page was asked for."""
+    page = F.regexp_extract(url, r"-alpage-([1-9]\d{0,8})\.html$", 1)
+    pattern = F.when(page != "", F.regexp_replace(url, r"-alpage-\d+\.html$", "-alpage-{}.html")).otherwise(url)
+    return pattern, F.coalesce(page.try_cast("int"), F.lit(1))
+
+
 def assign_track_keys(links: DataFrame, order: list[str]) -> DataFrame:
-    """``(trackid, …)`` numbered from 1 in crawl order; a repeated ``url`` counts once."""
-    rest = [c for c in links.columns if c not in order and c != "url"]
-    first = links.groupBy("url").agg(F.min(F.struct(*order, *rest)).alias("_first"))
-    return global_row_number(first.select("_first.*", "url"), order, "trackid")
+    """``(trackid, …)``: every row numbered from 1 in crawl order."""
+    return global_row_number(links, order, "trackid")

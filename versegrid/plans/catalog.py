@@ -112,7 +112,7 @@ def dataset_round_trip(spark, sf):
 def shard_union(spark, sf):
     """Lyrics shards and a shard repeated by a second run: rows stay as often as they were read."""
     docs = _documents(spark, sf).select("doc_id", "lang", "n_chars")
-    shards = [docs.filter(F.col("lang") == lang) for lang in ("en", "fr", "de", "es")]
+    shards = [docs.filter(F.pmod("doc_id", F.lit(4)) == k) for k in range(4)]
     return S.union_shards([*shards, shards[1]])
 
 
@@ -148,7 +148,9 @@ def strip_suffix(spark, sf):
 
 
 def decoded_text(spark, sf):
-    return _documents(spark, sf).select("doc_id", T.utf8_text(F.encode("text", "UTF-8")).alias("value"))
+    """Texts as bytes, every third with malformed ones behind it, read back."""
+    return _documents(spark, sf).select("doc_id", T.utf8_text(F.concat(
+        F.encode("text", "UTF-8"), F.when(F.col("doc_id") % 3 == 0, F.unhex(F.lit("FF41C3"))).otherwise(F.unhex(F.lit(""))))).alias("value"))
 
 
 def shard_letter(spark, sf):
@@ -187,8 +189,9 @@ def frontier_pattern(spark, sf):
 
 
 def page_enumeration(spark, sf):
-    """Pages in lists of 100; an address with a fragment answers from elsewhere."""
-    landed = _pages(spark, sf).select(
+    """Pages in lists of 100, every third landed twice; an address with a fragment answers from elsewhere."""
+    pages = _pages(spark, sf)
+    landed = pages.unionByName(pages.filter("page_id % 3 = 0")).select(
         F.floor(F.col("page_id") / 100).alias("idx"), (F.col("page_id") % 100 + 1).alias("page"), "url",
         F.when(F.col("page_id") % 100 > 40, F.regexp_replace("url", "#.*$", "")).otherwise(F.col("url")).alias("final_url"))
     return P.reachable(landed, ["idx"])
@@ -202,8 +205,9 @@ def track_keys(spark, sf):
 def artist_page_list(spark, sf):
     """Asked list pages that the landed pages could answer, matched by list and page number."""
     landed = _pages(spark, sf).select((F.col("page_id") % 27).cast("int").alias("idx_ord"),
-                                      (F.floor(F.col("page_id") / 27) + 1).alias("page"), "page_id")
-    return P.artist_pages(spark).join(landed, ["idx_ord", "page"]).select("page_id", "idx", "page", "url")
+                                      (F.floor(F.col("page_id") / 27) + 1).cast("int").alias("page"), "page_id")
+    idx = F.get(F.array(*[F.lit(i) for i in P.ARTIST_INDICES]), F.col("idx_ord"))
+    return landed.select("page_id", idx.alias("idx"), "page", P.artist_page_url(F.col("idx_ord"), F.col("page")).alias("url"))
 
 
 def crawl_tracks(spark, sf):
@@ -232,6 +236,39 @@ def _list_page(groups, order, css_class):
     return groups.agg(F.concat(F.lit(f'<html><table class="{css_class}"><tbody>'), rows, F.lit("</tbody></table></html>")).alias("html"))
 
 
+def site_rule_lyrics(spark, sf):
+    """Document texts on pages of the four sites' layouts, extracted by the four site rules."""
+    docs = _documents(spark, sf).select("doc_id", "text")
+    safe = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    at = F.col("doc_id").cast("string")
+    layouts = [
+        (F.concat(F.lit("http://www.metrolyrics.com/t-lyrics-"), at, F.lit(".html")),
+         F.concat(F.lit('<div id="lyrics-body-text"><p>'), safe, F.lit('</p><p id="mid-song-discussion">no</p></div><p>no</p>'))),
+        (F.concat(F.lit("http://www.lyrics.com/t-lyrics-"), at, F.lit(".html")),
+         F.concat(F.lit('<p>no</p><div id="lyrics">'), safe, F.lit("</div>no"))),
+        (F.concat(F.lit("http://www.lyricsmode.com/lyrics/t/a/"), at, F.lit(".html")),
+         F.concat(F.lit('<p id="lyrics_text">'), safe, F.lit("</p>no"))),
+        (F.concat(F.lit("http://www.azlyrics.com/lyrics/a/"), at, F.lit(".html")),
+         F.concat(F.lit('<div class="lyricsh">no</div><div class="r">no</div><div>'), safe, F.lit("</div><div>no</div>"))),
+    ]
+    pages = F.get(F.array(*[F.struct(u.alias("url"), h.alias("html")) for u, h in layouts]), (F.col("doc_id") % 4).cast("int"))
+    landed = docs.select(F.col("doc_id").alias("trackid"), pages.alias("p")).select("trackid", "p.url", "p.html")
+    return jobs.extract(landed.select("trackid", "url"), landed.select("url", "html"))
+
+
+def vectorize(spark, sf):
+    """Lyrics with ordered tags, every seventh lyrics row twice, to vectors stored by part and read back."""
+    docs = _documents(spark, sf).select(F.col("doc_id").alias("trackid"), F.col("text").alias("lyrics"))
+    lyrics = docs.unionByName(docs.filter("trackid % 7 = 0"))
+    path = staging_path(spark, "vectorize")
+    S.write_dataset(jobs.vectorize(lyrics, _label_tags(spark, sf), split=True), path)
+    stored = spark.read.schema("trackid long, label string, part string, features struct<type: tinyint, size: int, "
+                               "indices: array<int>, values: array<double>>").parquet(path)
+    return stored.select("trackid", "label", "part", "features.size",
+                         F.array_join(F.transform("features.indices", lambda i: i.cast("string")), ",").alias("indices"),
+                         F.round(F.aggregate("features.values", F.lit(0.0), lambda a, x: a + x), 5).alias("weight_sum"))
+
+
 def _bodies(rule):
     def query(spark, sf):
         pages = _pages(spark, sf).select("page_id", "html", F.lit(0).alias("rule_no"))
@@ -506,6 +543,8 @@ QUERIES = {
     "artist_page_list": artist_page_list,
     "track_keys": track_keys,
     "crawl_tracks": crawl_tracks,
+    "site_rule_lyrics": site_rule_lyrics,
+    "vectorize": vectorize,
     "page_bodies_text": _bodies(ARTICLE_TEXT),
     "page_bodies_paragraphs": _bodies(ARTICLE_PARAGRAPHS),
     "page_bodies_next": _bodies(AFTER_AD),

@@ -13,28 +13,34 @@ from versegrid.operators import tfidf as V
 from versegrid.operators.learners import classify_all
 from versegrid.operators.metrics import cluster_scores
 from versegrid.operators.neighbours import neighbourhood
+from versegrid.operators.ranking import global_row_number
 from versegrid.operators.tokens import term_freq
 from versegrid.session import stage
 from versegrid.sources.tables import union_shards
 
 
-def crawl(artist_lists: DataFrame, song_lists: DataFrame, max_depth: int = P.MAX_DEPTH) -> DataFrame:
-    """Tracks from landed list pages.
+def crawl(artist_lists: DataFrame, song_lists: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Tracks from landed list pages, one per list row.
 
     ``artist_lists`` is ``(idx_ord, idx, page, url, final_url, html)``, ``song_lists``
-    ``(url, final_url, html)`` keyed by requested address.
+    ``(url, final_url, html)`` keyed by requested address. Links are read where a page
+    lies; only they and the keys of pages move. An address without page numbers is one
+    page. A page that landed several times with the same rows counts once.
     """
-    lists = P.reachable(artist_lists, ["idx_ord"], max_depth)
-    artists = P.list_links(lists, ["idx_ord", "page"], P.ARTIST_TABLE).select(
+    lists = P.reachable(artist_lists.select("idx_ord", "page", "url", "final_url"), ["idx_ord"], max_depth)
+    rows = P.list_links(artist_lists, ["idx_ord", "page"], P.ARTIST_TABLE).join(
+        lists.select("idx_ord", "page"), ["idx_ord", "page"], "left_semi")
+    artists = rows.select(
         "idx_ord", F.col("page").alias("list_page"), F.col("pos").alias("artist_pos"),
-        F.col("name").alias("artist"), P.songs_page_pattern(F.col("href")).alias("pattern"))
-    asked = artists.withColumn("page", F.explode(F.sequence(F.lit(1), F.lit(max_depth))))
-    asked = asked.withColumn("url", P.songs_page_url(F.col("pattern"), F.col("page")))
-    answered = P.reachable(asked.join(song_lists, "url"), ["idx_ord", "list_page", "artist_pos"], max_depth)
-    where = ["idx_ord", "list_page", "artist_pos", "page"]
-    songs = P.list_links(answered, [*where, "artist"], P.SONG_TABLE)
-    named = songs.select(*where, "pos", "artist", F.col("href").alias("url"), F.col("name").alias("title"))
-    return P.assign_track_keys(named, [*where, "pos"]).select("trackid", "url", "artist", "title")
+        F.col("name").alias("artist"), P.songs_page_pattern(F.col("href")).alias("pattern")).distinct()
+    pattern, page = P.asked_as(F.col("url"))
+    asked = song_lists.withColumns({"pattern": pattern, "page": page})
+    answered = P.reachable(asked.select("pattern", "page", "url", "final_url"), ["pattern"], max_depth)
+    songs = P.list_links(asked, ["pattern", "page"], P.SONG_TABLE).join(
+        answered.select("pattern", "page"), ["pattern", "page"], "left_semi").distinct()
+    where = ["idx_ord", "list_page", "artist_pos", "page", "pos"]
+    named = artists.join(songs, "pattern").select(*where, "artist", F.col("href").alias("url"), F.col("name").alias("title"))
+    return P.assign_track_keys(named, where).select("trackid", "url", "artist", "title")
 
 
 def extract(tracks: DataFrame, landed: DataFrame, rules=SITE_RULES) -> DataFrame:
@@ -54,13 +60,15 @@ def tag(tracks: DataFrame, tag_sources: list[DataFrame], genres: DataFrame) -> D
 
 
 def vectorize(lyrics: DataFrame, tags: DataFrame, split: bool = False) -> DataFrame:
-    """``(trackid, label, part, features)`` from lyrics and ordered tags.
+    """``(trackid, label, part, features)`` from lyrics and ordered tags, one row per lyrics row.
 
-    With ``split`` the vocabulary and its IDF come from the training part alone.
+    With ``split`` the vocabulary and its IDF come from the training part alone. Rows
+    get numbers of their own, as a track may have lyrics twice.
     """
-    corpus = stage(V.labelled_corpus(lyrics, tags), "corpus")
-    return vectorize_corpus(corpus.select("trackid", F.col("lyrics").alias("text"), F.col("tag").alias("label")),
-                            "trackid", split)
+    labelled = V.labelled_corpus(lyrics, tags).withColumn("_mark", F.md5("lyrics"))
+    corpus = stage(global_row_number(labelled, ["trackid", "_mark"], "row"), "corpus")
+    vectors = vectorize_corpus(corpus.select("row", F.col("lyrics").alias("text"), F.col("tag").alias("label")), "row", split)
+    return vectors.join(corpus.select("row", "trackid"), "row").select("trackid", "label", "part", "features")
 
 
 def vectorize_corpus(corpus: DataFrame, key: str, split: bool) -> DataFrame:

@@ -85,7 +85,11 @@ def _stem_steps() -> list[str]:
         f"WHEN length({b}) > 1 AND right({b}, 1) = left(right({b}, 2), 1) AND regexp_matches({b}, '[^aeiou]$') "
         f"THEN CASE WHEN regexp_matches({b}, '[lsz]$') THEN {b} ELSE left(w, length(w) - 2) END "
         f"WHEN regexp_matches({b}, '{P.MEASURE_1}') AND regexp_matches({b}, '{P.SHORT_END}') THEN {b} || 'e' ELSE {b} END",
-        f"CASE WHEN regexp_matches(w, '^.+[^aeiouy]y$') THEN {_cut(1)} || 'i' ELSE w END",
+        # letters before the last y, each marked v or c, y by the letter before it; long runs of y alternate
+        f"CASE WHEN suffix(w, 'y') AND length(w) > 2 AND CASE "
+        f"WHEN NOT suffix({b}, 'y') THEN NOT regexp_matches({b}, '[aeiou]$') "
+        f"ELSE (length(regexp_extract({b}, 'y+$')) + CASE WHEN regexp_matches({b}, '[^aeiouy]y+$') THEN 1 ELSE 0 END) % 2 = 1 END "
+        f"THEN {b} || 'i' ELSE w END",
         f"CASE WHEN suffix(w, 'alli') AND regexp_matches({_cut(4)}, '{P.MEASURE_1_UP}') THEN {_cut(2)} ELSE w END",
         _suffix_case(P.STEP2),
         _suffix_case(P.STEP3),
@@ -236,8 +240,7 @@ _SITE = (r"CASE WHEN regexp_matches(url, '^https?://blog\.') THEN 'blog' WHEN re
          r"WHEN regexp_matches(url, '^https?://www\.') THEN 'www' END")
 _NAV_LINKS = """links AS (SELECT page_id, pos - 1 AS pos, regexp_extract(li, '<a href="([^"]*)">([^<]*)</a>', 1) AS href,
   trim(regexp_extract(li, '<a href="([^"]*)">([^<]*)</a>', 2)) AS name FROM (SELECT page_id, items[pos] AS li, pos FROM
-  (SELECT page_id, string_split(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<li>')[2:] AS items FROM pages), range(1, 1000) r(pos)
-  WHERE pos <= len(items)) WHERE regexp_matches(li, '<a href="([^"]*)">([^<]*)</a>'))"""
+  (SELECT page_id, string_split(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<li>')[2:] AS items FROM pages), LATERAL (SELECT unnest(range(1, len(items) + 1)) AS pos)) WHERE regexp_matches(li, '<a href="([^"]*)">([^<]*)</a>'))"""
 
 _TITLE = "' ' || p_name || ' Lyrics live Lyrics '"
 _DROPPED = rf"regexp_replace({_TITLE}, '(?s)^(.*) Lyrics(.*)$', '\1\2')"
@@ -253,7 +256,7 @@ ORACLE = {
     "tsv_round_trip": "SELECT CAST(p_partkey AS BIGINT) AS trackid, 'http://host/' || p_type AS url, '\"' || p_brand AS artist, "
                       "p_name || ' \"live\"' AS title FROM part",
     "dataset_round_trip": f"SELECT doc_id, lang, text, part FROM documents JOIN ({_split('documents', 'doc_id')}) USING (doc_id) WHERE part = 'testset'",
-    "shard_union": "SELECT doc_id, lang, n_chars FROM documents WHERE lang IN ('en', 'fr', 'de', 'es') UNION ALL SELECT doc_id, lang, n_chars FROM documents WHERE lang = 'fr'",
+    "shard_union": "SELECT doc_id, lang, n_chars FROM documents UNION ALL SELECT doc_id, lang, n_chars FROM documents WHERE doc_id % 4 = 1",
     "genre_dim": "SELECT CAST(row_number() OVER (ORDER BY genre) - 1 AS INTEGER) AS ord, genre, subgenres FROM (SELECT p_type AS genre, "
                  "array_to_string(list_sort(list(DISTINCT p_name)), '|') AS subgenres FROM part GROUP BY p_type)",
     "alias_to_genre": "WITH g AS (SELECT p_type AS genre, CAST(row_number() OVER (ORDER BY p_type) - 1 AS INTEGER) AS ord FROM part GROUP BY p_type), "
@@ -261,7 +264,7 @@ ORACLE = {
                       "SELECT alias, min(ord) AS ord, arg_min(genre, ord) AS genre FROM a GROUP BY alias",
     "inline_text": _each(_inline("text")),
     "fold_ascii": _each(_fold("text")),
-    "decoded_text": _each("text"),
+    "decoded_text": _each("text || CASE WHEN doc_id % 3 = 0 THEN chr(65533) || 'A' || chr(65533) ELSE '' END"),
     "replace_last": _each(
         f"CASE WHEN {_E_COUNT} >= 2 THEN regexp_replace(text, '(?s)^(.*)e(.*)e(.*)$', '\\1<E>\\2<E>\\3') "
         f"WHEN {_E_COUNT} = 1 THEN replace(text, 'e', '<E>') ELSE text END"),
@@ -283,19 +286,29 @@ ORACLE = {
         h AS (SELECT page_id, href || CASE WHEN page_id % 2 = 0 THEN '-lyrics.html' ELSE '-songs.html' END AS href FROM l),
         p AS (SELECT *, regexp_replace(href, '-lyrics.html$', '-alpage-{}.html') AS pattern FROM h)
         SELECT page_id, href, pattern, replace(pattern, '{}', '2') AS second FROM p""",
-    "page_enumeration": """WITH l AS (SELECT page_id // 100 AS idx, page_id % 100 + 1 AS page, url,
+    "page_enumeration": """WITH l AS (SELECT page_id, page_id // 100 AS idx, page_id % 100 + 1 AS page, url,
           CASE WHEN page_id % 100 > 40 THEN regexp_replace(url, '#.*$', '') ELSE url END AS final_url FROM pages),
         stops AS (SELECT idx, min(page) AS stop FROM l WHERE url <> final_url GROUP BY idx)
-        SELECT l.* FROM l LEFT JOIN stops USING (idx) WHERE page < coalesce(stop, 101)""",
+        SELECT idx, page, url, final_url FROM l LEFT JOIN stops USING (idx), range(2) twice(n) WHERE page < coalesce(stop, 101) AND (n = 0 OR page_id % 3 = 0)""",
     "artist_page_list": "SELECT page_id, CASE WHEN page_id % 27 = 0 THEN '1' ELSE chr(CAST(96 + page_id % 27 AS INTEGER)) END AS idx, CAST(page_id // 27 + 1 AS INTEGER) AS page, "
-                        "'http://www.metrolyrics.com/artists-' || CASE WHEN page_id % 27 = 0 THEN '1' ELSE chr(CAST(96 + page_id % 27 AS INTEGER)) END || '-' || (page_id // 27 + 1) || '.html' AS url FROM pages WHERE page_id // 27 + 1 <= 100",
-    "track_keys": f"WITH {_NAV_LINKS}, f AS (SELECT href AS url, min((page_id, pos, name)) AS m FROM links GROUP BY href) "
-                  "SELECT m[1] AS page_id, CAST(m[2] AS INTEGER) AS pos, m[3] AS name, url, row_number() OVER (ORDER BY m) AS trackid FROM f",
+                        "'http://www.metrolyrics.com/artists-' || CASE WHEN page_id % 27 = 0 THEN '1' ELSE chr(CAST(96 + page_id % 27 AS INTEGER)) END || '-' || (page_id // 27 + 1) || '.html' AS url FROM pages",
+    "track_keys": f"WITH {_NAV_LINKS} SELECT page_id, CAST(pos AS INTEGER) AS pos, name, href AS url, row_number() OVER (ORDER BY page_id, pos) AS trackid FROM links",
     "crawl_tracks": """WITH p AS (SELECT p_name, p_partkey AS k, CAST(regexp_extract(p_brand, '(\\d+)', 1) AS INTEGER) AS b FROM part),
         s AS (SELECT (b % 5, (b // 5) % 3, b, k // 1000, k) AS o, 'Brand & ' || b AS artist, p_name AS title,
-          'http://host/brand-' || b || '/' || replace(p_name, ' ', '-') || '.html' AS url FROM p WHERE k // 1000 < 100),
-        f AS (SELECT url, artist, title, min(o) AS o FROM s GROUP BY ALL)
-        SELECT row_number() OVER (ORDER BY o) AS trackid, url, artist, title FROM f""",
+          'http://host/brand-' || b || '/' || replace(p_name, ' ', '-') || '.html' AS url FROM p)
+        SELECT row_number() OVER (ORDER BY o) AS trackid, url, artist, title FROM s""",
+    "site_rule_lyrics": f"SELECT doc_id AS trackid, {_inline(_fold('text'))} AS lyrics FROM documents WHERE text <> ''",
+    "vectorize": f"""WITH {_TAG_ROWS}, last AS (SELECT trackid, arg_max(tag, ord) AS tag FROM tag_rows GROUP BY trackid),
+        twice AS (SELECT * FROM documents UNION ALL SELECT * FROM documents WHERE doc_id % 7 = 0),
+        labelled AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id, md5(text)) AS doc_id, doc_id AS trackid, text, tag AS label
+          FROM twice JOIN last ON doc_id = trackid WHERE tag <> ''),
+        parts AS MATERIALIZED ({_split("labelled", "doc_id")}), {_tf_ctes("labelled")},
+        train_tf AS (SELECT tf.* FROM tf JOIN parts USING (doc_id) WHERE part = 'trainset'),
+        {_idf_ctes("(SELECT count(*) FROM parts WHERE part = 'trainset')", "train_tf")}, {_w_cte()},
+        ix AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx FROM idf),
+        v AS (SELECT doc_id, string_agg(CAST(idx AS VARCHAR), ',' ORDER BY idx) AS indices, sum(weight) AS s FROM w JOIN ix USING (term) GROUP BY doc_id)
+        SELECT trackid, label, part, CAST((SELECT count(*) FROM idf) AS INTEGER) AS size, coalesce(indices, '') AS indices,
+          round(coalesce(s, 0), 5) AS weight_sum FROM labelled JOIN parts USING (doc_id) LEFT JOIN v USING (doc_id)""",
     "page_bodies_text": f"WITH {_BODIES} SELECT page_id, body_text AS body FROM bodies",
     "page_bodies_paragraphs": f"WITH {_BODIES} SELECT page_id, body_paragraphs AS body FROM bodies",
     "page_bodies_next": f"WITH {_BODIES} SELECT page_id, body_next AS body FROM bodies",

@@ -8,29 +8,32 @@ retry and never a lost intermediate result.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Set by spark-submit and by those who pass its arguments on.
+SUBMITTED = ("PYSPARK_GATEWAY_PORT", "PYSPARK_SUBMIT_ARGS", "SPARK_CONF_DIR")
 _local_roots: dict[str, str] = {}
 
 
 def build_session(app_name: str = "versegrid", cores: int | None = None) -> SparkSession:
-    """A session for local runs; on a cluster the submitted configuration rules."""
+    """A session for local runs; a submitted job keeps all that it was submitted with."""
+    builder = SparkSession.builder.appName(app_name)
+    if any(name in os.environ for name in SUBMITTED) or SparkSession.getActiveSession():
+        return builder.getOrCreate()
     cores = cores or os.cpu_count() or 8
     return (
-        SparkSession.builder.appName(app_name)
-        .master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cores))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
 
@@ -44,7 +47,8 @@ def staging_root(spark: SparkSession) -> str:
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     if context.applicationId not in _local_roots:
-        _local_roots[context.applicationId] = tempfile.mkdtemp(prefix="versegrid-")
+        root = _local_roots[context.applicationId] = tempfile.mkdtemp(prefix="versegrid-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
     return _local_roots[context.applicationId]
 
 

@@ -48,10 +48,14 @@ def read_tsv(spark: SparkSession, path: str | list[str], schema: StructType) ->
 def write_tsv(df: DataFrame, path: str) -> None:
     """Tab-separated text with a header and no quoting, one file per task.
 
-    Unquoted fields cannot hold a tab or a line break; the jobs write values that
-    went through ``inline``.
+    Unquoted fields cannot hold a tab, a line break or a NUL; a value with one fails
+    the write instead of shifting columns. ``inline`` makes such values safe.
     """
-    df.write.csv(
+    safe = {
+        f.name: F.when(F.col(f.name).rlike("[\t\n\r\x00]"), F.raise_error(F.concat(
+            F.lit(f"column {f.name} cannot be written as TSV: "), F.col(f.name)))).otherwise(F.col(f.name))
+        for f in df.schema if f.dataType.simpleString() == "string"}
+    df.withColumns(safe).write.csv(
         path, sep="\t", header=True, quote="", escape="", encoding="UTF-8",
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="",
     )
