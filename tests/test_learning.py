@@ -199,11 +199,31 @@ def test_long_learners(spark, toy):
 def test_vector_learners(spark, toy):
     vectors, *_ = toy
     train, test = (vectors.filter(f"part = '{p}'") for p in ("trainset", "testset"))
-    for learner in (L.predict_svm, L.predict_forest, L.predict_mlp):
+    for learner in (lambda *a: L.predict_svm(*a), lambda *a: L.predict_svm(*a, 1.0), lambda *a: L.predict_forest(*a, 1.0), lambda *a: L.predict_mlp(*a, 1.0)):
         assert _accuracy(learner(train, test, "id")) >= 0.85
 
 
-def test_too_many_classes_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(L, "MAX_CLASSES", 2)
-    with pytest.raises(ValueError):
-        L.class_list(spark.createDataFrame([("a",), ("b",), ("c",)], "label string"))
+def test_many_classes_and_rows_without_terms(spark):
+    """A class per document, far more than columns would allow; a test row without terms takes the commonest class."""
+    rows = [(i, f"t{i}", 1.0) for i in range(1500)]
+    long = spark.createDataFrame(rows, "id long, term string, weight double")
+    docs = spark.createDataFrame([(i, f"c{i:04d}") for i in range(1500)] + [(5000 + i, "c0007") for i in range(3)], "id long, label string")
+    test_docs = spark.createDataFrame([(i, f"c{i:04d}") for i in range(0, 1500, 100)] + [(9999, "none")], "id long, label string")
+    n_terms = F.lit(1500)
+    got = {r.id: r.prediction for r in L.naive_bayes(long, docs, long.filter("id % 100 = 0"), test_docs, n_terms, "id").collect()}
+    assert got == {i: f"c{i:04d}" for i in range(0, 1500, 100)} | {9999: "c0007"}
+
+
+def test_perceptron_ends_when_no_row_is_wrong(spark):
+    x = spark.createDataFrame([(1, "a", 1.0), (2, "b", 1.0)], "id long, term string, weight double")
+    docs = spark.createDataFrame([(1, "x"), (2, "y")], "id long, label string")
+    got = {r.id: r.prediction for r in L.perceptron(x, docs, x, docs, "id", epochs=1000).collect()}
+    assert got == {1: "x", 2: "y"}
+
+
+def test_selection_that_keeps_nothing_is_an_error(spark):
+    from pyspark.ml.linalg import Vectors
+
+    train = spark.createDataFrame([(i, "ab"[i % 2], Vectors.dense([1.0, 1.0])) for i in range(8)], ["id", "label", "features"])
+    with pytest.raises(ValueError, match="keeps no column"):
+        L.predict_forest(train, train, "id", cost=1e-6)

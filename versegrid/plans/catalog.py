@@ -38,6 +38,7 @@ NAV_LIST = P.LinkLayout(r"(?s)<nav>(.*?)</nav>", "<li>", r'<a href="([^"]*)">([^
 EVENT_GENRES = [(0, "browse", ["view", "click"]), (1, "commerce", ["purchase", "click"]),
                 (2, "view", ["signup"]), (3, "account", ["signup", "purchase"])]
 WEIGHT_DIGITS = 6
+COST = 1.0  # of feature selection, one for all sizes of these tables
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -482,7 +483,7 @@ def _vector_split(spark, sf):
 
 
 def random_forest(spark, sf):
-    return L.predict_forest(*_vector_split(spark, sf), "vec_id")
+    return L.predict_forest(*_vector_split(spark, sf), "vec_id", COST)
 
 
 def linear_svm(spark, sf):
@@ -490,19 +491,19 @@ def linear_svm(spark, sf):
 
 
 def mlp(spark, sf):
-    return L.predict_mlp(*_vector_split(spark, sf), "vec_id")
+    return L.predict_mlp(*_vector_split(spark, sf), "vec_id", COST)
 
 
 def feature_selection(spark, sf):
     docs = _documents(spark, sf).select("doc_id", "text", F.col("lang").alias("label"))
     vectors, _, index, _ = jobs.vectorized(docs, "doc_id", split=True)
-    return L.selected_terms(vectors.filter("part = 'trainset'"), index)
+    return L.selected_terms(vectors.filter("part = 'trainset'"), index, COST)
 
 
 def classify_all(spark, sf):
     vectors, long, index, docs = jobs.vectorized(_labelled_texts(spark, sf), "doc_id", split=True)
     path = staging_path(spark, "reports")
-    S.write_reports(jobs.classify(vectors, long, index, docs, "doc_id"), path)
+    S.write_reports(jobs.classify(vectors, long, index, docs, "doc_id", COST), path)
     return spark.read.parquet(path).select("algorithm", "class", "precision", "recall", "f1", "support")
 
 

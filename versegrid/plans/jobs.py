@@ -10,7 +10,7 @@ from versegrid.operators import cluster as C
 from versegrid.operators import genres as G
 from versegrid.operators import pages as P
 from versegrid.operators import tfidf as V
-from versegrid.operators.learners import classify_all
+from versegrid.operators.learners import SELECTION_COST, classify_all
 from versegrid.operators.metrics import cluster_scores
 from versegrid.operators.neighbours import neighbourhood
 from versegrid.operators.ranking import global_row_number
@@ -114,6 +114,7 @@ def cluster(corpus: DataFrame, key: str, eps: float = 0.3, affinity_eps: float =
     return union_shards([cluster_scores(df).select(F.lit(name).alias("algorithm"), "*") for name, df in found.items()])
 
 
-def classify(vectors: DataFrame, long: DataFrame, index: DataFrame, docs: DataFrame, key: str) -> DataFrame:
+def classify(vectors: DataFrame, long: DataFrame, index: DataFrame, docs: DataFrame, key: str,
+             cost: float = SELECTION_COST) -> DataFrame:
     """Report rows of the five learners on what :func:`vectorized` gives for a split corpus."""
-    return classify_all(long, vectors, docs, V.row_count(index), key)
+    return classify_all(long, vectors, docs, V.row_count(index), key, cost)
