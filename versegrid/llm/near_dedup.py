@@ -6,17 +6,18 @@
    minima find candidates; of each minimum only its ``BITS`` low bits are kept and packed
    into a signature. A pair at the threshold of 0.8 misses all bands with probability
    (1 - 0.8^5)^48 = 5e-9.
-3. In each bucket every class is paired with the bucket's smallest member only, so a
-   bucket of any size gives as many pairs as members. Signatures are compared by bit
-   counts, corrected for the bits that agree by chance; the pair goes on unless its
-   estimate is more than ``SLACK`` below the threshold, far beyond the error of 256
-   minima. Remaining pairs are confirmed on the full sets of both texts.
+3. A bucket of any size names four of its members, the first and last under two orders
+   of the digests, and a class is paired with the four that come first among all its
+   buckets. So a class gives at most four pairs, and groups of copies meet in the same
+   members. Signatures are compared by bit counts, corrected for the bits that agree by
+   chance; a pair goes on unless its estimate is more than ``SLACK`` below the threshold,
+   six times the error of 240 minima. Remaining pairs are confirmed on the full sets.
 4. Confirmed links join classes into components. A bucket whose members are all in one
    component has nothing left to say. In any other bucket the pairs across components
-   are still open: small ones list them, large ones are split by the later bands (two
-   texts at the threshold share some 16 bands, so they meet again) and go through 3
-   again. After ``SPLITS`` splits what is left is listed pair by pair, whatever its
-   size. No pair is dropped for the size of its bucket.
+   are still open: small ones compare the signatures of all of them, large ones are split
+   by the later bands (two texts at the threshold share some 16 bands, so they meet
+   again) and go through 3 again. After ``SPLITS`` splits what is left is compared pair by
+   pair, whatever its size. No pair is dropped for the size of its bucket.
 
 All tables hold ids and hashes; texts travel for unconfirmed pairs only.
 
@@ -45,8 +46,8 @@ THRESHOLD = 80
 BANDS = 48
 ROWS = 5
 BITS = 2
-#: Pairs whose estimated percentage is this far below the threshold are not confirmed (9 standard errors).
-SLACK = 28
+#: Pairs whose estimated percentage is this far below the threshold are not confirmed (six standard errors).
+SLACK = 20
 #: Buckets up to this many members list their open pairs at once.
 SMALL = 32
 SPLITS = 2
@@ -152,13 +153,12 @@ def estimate(a: Column, b: Column, count: int = BANDS * ROWS, bits: int = BITS)
     return (1 - differ / F.lit(count) - chance) / (1 - chance)
 
 
-def _confirmed(pairs: DataFrame, one: DataFrame, texts: DataFrame, shingle: int, threshold: int) -> DataFrame:
-    """The pairs ``(a, b)`` of classes whose full sets reach the threshold."""
-    def side(name: str) -> DataFrame:
-        return one.select(F.col("class").alias(name), F.col("planes").alias(f"planes_{name}"))
+def _likely(threshold: int) -> Column:
+    return 100 * estimate(F.col("planes_a"), F.col("planes_b")) >= threshold - SLACK
+
 
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").filter(
-        100 * estimate(F.col("planes_a"), F.col("planes_b")) >= threshold - SLACK).select("a", "b")
+def _confirmed(likely: DataFrame, texts: DataFrame, shingle: int, threshold: int) -> DataFrame:
+    """The pairs ``(a, b)`` of classes whose full sets reach the threshold."""
     both = likely.join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b").join(
         texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a").select("a", "text_a", "b", "text_b")
 
@@ -193,63 +193,73 @@ def _labelled(df: DataFrame, labels: DataFrame, node: str, name: str) -> DataFra
     return df.join(known, node, "left").withColumn(name, F.coalesce(name, node))
 
 
-def _ordered(a: str, b: str) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
 def _components(links: DataFrame) -> DataFrame:
     return connected_components(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), links)
 
 
+def _halves_swapped(digest: Column) -> Column:
+    return F.concat(F.substring(digest, 9, 8), F.substring(digest, 1, 8))
+
+
+def _shared_buckets(level: DataFrame) -> DataFrame:
+    """The rows of buckets with several classes, each with the four members its bucket names."""
+    swapped = _halves_swapped(F.col("class"))
+    named = level.groupBy("bucket").agg(
+        F.min("class").alias("low"), F.max("class").alias("high"),
+        F.min(swapped).alias("low_swapped"), F.max(swapped).alias("high_swapped")).filter("low <> high")
+    return level.join(named, "bucket")
+
+
+def _star_pairs(level: DataFrame) -> DataFrame:
+    """``(a, b)``: each class with the named members that come first among its buckets."""
+    named = level.groupBy("class").agg(F.min("low").alias("n1"), F.max("high").alias("n2"),
+                                       F.min("low_swapped").alias("n3"), F.max("high_swapped").alias("n4"))
+    others = F.array("n1", "n2", _halves_swapped(F.col("n3")), _halves_swapped(F.col("n4")))
+    return named.select("class", F.explode(others).alias("other")).filter("class <> other").select(
+        F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
+
+
+def _open_pairs(listed: DataFrame, one: DataFrame, threshold: int) -> DataFrame:
+    """Likely pairs across components of the buckets in ``listed``; the join compares signatures and keeps what is likely."""
+    rows = listed.select("bucket", "class", "root").join(one.select("class", "planes"), "class")
+    sides = [rows.select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in ("class", "root", "planes")]) for side in "ab"]
+    met = sides[0].join(sides[1], (sides[0]["bucket"] == sides[1]["bucket"]) & (F.col("root_a") < F.col("root_b")) & _likely(threshold))
+    return met.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
+
+
 def class_links(sig: DataFrame, docs: DataFrame, key: str, text: str, shingle: int, threshold: int) -> DataFrame:
     """Components of classes, ``(node, root)`` for every class with a link."""
     sig = sig.filter("class IS NOT NULL AND key IS NOT NULL")
     one = stage(sig.select("class", "key", "bands", "planes").dropDuplicates(["class"]), "near-classes")
     # one key with several texts links their classes
-    spread = sig.groupBy("key").agg(
-        F.min("class").alias("a"), F.max("class").alias("z")).filter("a <> z").select("key", "a")
+    spread = sig.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("z")).filter("a <> z").select("key", "a")
     links = stage(sig.join(spread, "key").filter("class <> a").select("a", F.col("class").alias("b")).distinct(), "near-links")
-    level = one.select("class", F.posexplode("bands").alias("band", "bucket"))
-    texts, checked, labels = None, None, _components(links)
+    level = stage(_shared_buckets(one.select("class", F.posexplode("bands").alias("band", "bucket"))), "near-buckets")
+    wanted = stage(level.select("class").distinct().join(one.select("class", "key"), "class"), "near-wanted")
+    found = reduced(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", wanted, "key").join(wanted, "key")
+    texts = stage(_of_class(found.select("class", "text"), shingle).dropDuplicates(["class"]), "near-texts")
+    planes = one.select("class", "planes")
     for split in range(SPLITS + 1):
-        shared = level.groupBy("bucket").agg(F.min("class").alias("first"), F.max("class").alias("last")).filter("first <> last")
-        level = stage(level.join(shared.select("bucket", "first"), "bucket"), "near-buckets")
-        if texts is None:
-            wanted = level.select("class").distinct().join(one.select("class", "key"), "class")
-            wanted = stage(wanted, "near-wanted")
-            found = reduced(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", wanted, "key").join(wanted, "key")
-            texts = stage(_of_class(found.select("class", "text"), shingle).dropDuplicates(["class"]), "near-texts")
-        for stars in (True, False):
-            if stars:
-                pairs = level.filter("class <> first").select(*_ordered("first", "class")).distinct()
-                pairs = _labelled(_labelled(pairs, labels, "a", "root_a"), labels, "b", "root_b").filter(
-                    "root_a <> root_b").select("a", "b")
-            else:
-                rooted = _labelled(level.select("bucket", "band", "class"), labels, "class", "root")
-                state = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"),
-                                                     F.count("*").alias("members")).filter("low <> high")
-                opened = stage(rooted.join(state.select("bucket", "members"), "bucket"), "near-open")
-                listed = opened if split == SPLITS else opened.filter(F.col("members") <= SMALL)
-                left = listed.select("bucket", F.col("class").alias("x"), F.col("root").alias("root_x"))
-                right = listed.select("bucket", F.col("class").alias("y"), F.col("root").alias("root_y"))
-                pairs = left.join(right, "bucket").filter("root_x < root_y").select(*_ordered("x", "y")).distinct()
-            if checked is not None:
-                pairs = pairs.join(checked, ["a", "b"], "left_anti")
-            pairs = stage(pairs, "near-pairs")
-            if pairs.isEmpty():
-                continue
-            checked = pairs if checked is None else checked.unionByName(pairs)
-            links = stage(links.unionByName(_confirmed(pairs, one, texts, shingle, threshold)), "near-links")
+        sides = [planes.select(F.col("class").alias(c), F.col("planes").alias(f"planes_{c}")) for c in "ab"]
+        stars = stage(_star_pairs(level).join(sides[0], "a").join(sides[1], "b").filter(_likely(threshold)).select("a", "b"), "near-pairs")
+        links = stage(links.unionByName(_confirmed(stars, texts, shingle, threshold)), "near-links")
+        labels = _components(links)
+        rooted = _labelled(level.select("bucket", "band", "class"), labels, "class", "root")
+        state = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"),
+                                             F.count("*").alias("members")).filter("low <> high")
+        opened = stage(rooted.join(state.select("bucket", "members"), "bucket"), "near-open")
+        listed = opened if split == SPLITS else opened.filter(F.col("members") <= SMALL)
+        pairs = stage(_open_pairs(listed, one, threshold).join(stars, ["a", "b"], "left_anti"), "near-pairs")
+        if not pairs.isEmpty():
+            links = stage(links.unionByName(_confirmed(pairs, texts, shingle, threshold)), "near-links")
             labels = _components(links)
-        if split == SPLITS:
-            break
         large = opened.filter(F.col("members") > SMALL)
-        if large.isEmpty():
-            break
-        level = large.select("bucket", "band", "class").join(one.select("class", "bands"), "class").select(
-            "class", "bucket", "band", F.posexplode("bands").alias("next", "value")).filter("next > band").select(
-            "class", F.col("next").alias("band"), F.xxhash64("bucket", "value").alias("bucket"))
-    return labels
+        if split == SPLITS or large.isEmpty():
+            return labels
+        after = large.select("bucket", "band", "class").join(one.select("class", "bands"), "class").select(
+            "class", "bucket", "band", F.posexplode("bands").alias("next", "value")).filter("next > band")
+        level = stage(_shared_buckets(after.select(
+            "class", F.col("next").alias("band"), F.xxhash64("bucket", "value").alias("bucket"))), "near-buckets")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
