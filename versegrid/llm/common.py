@@ -89,6 +89,8 @@ def without(rows: DataFrame, column: str, keys: DataFrame, key: str) -> DataFram
     """The rows whose ``column`` is not among ``keys``; only rows that the bit map cannot clear are joined with them."""
     marked, is_set = _map_marked(rows, column, keys, key)
     clear = marked.filter(~F.col(is_set)).drop(is_set)
-    named = keys.select(F.col(key).alias(is_set))
+    # an outer join, as Spark would move an anti join below the bit map
+    named = keys.select(F.col(key).alias(is_set)).filter(F.col(is_set).isNotNull()).distinct()
     unsure = reduced(rows, column, keys, key)
-    return clear.unionByName(unsure.join(named, unsure[column] == named[is_set], "left_anti"))
+    stay = unsure.join(named, unsure[column] == named[is_set], "left").filter(F.col(is_set).isNull()).drop(is_set)
+    return clear.unionByName(stay)

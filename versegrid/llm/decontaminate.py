@@ -8,7 +8,8 @@ contain it are compared word by word. Hashes only propose; words decide.
 
 Hashes of documents are never grouped. The item side is stored first, so its size is
 known when Spark picks the join; beyond the broadcast limit both sides shuffle by hash
-and AQE splits frequent ones. Copies of one text are looked at once, by their digest.
+and AQE splits frequent ones. The texts that met an item are fetched behind a bit map of
+their digests, so a clean text is not shuffled. Copies of one text are looked at once, by their digest.
 
 Defined cases: a null text, or one without words, has no window and is never hit; a
 null item has no window either. An item of fewer than ``span`` words is one window of
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from versegrid.llm.common import fresh, in_order, let, lower_ascii
+from versegrid.llm.common import fresh, in_order, let, lower_ascii, reduced
 from versegrid.session import stage
 
 SPAN = 13
@@ -103,7 +104,8 @@ def shared_windows(docs: DataFrame, items: DataFrame, text: str = "text", item_t
     doc_marks = _fingerprints(texts, "digest", words(F.col("text")), spans)
     met = stage(doc_marks.join(item_marks, ["span", "hash"]).select(
         "digest", "item", "span", "place", "item_place").distinct(), "bench-meetings")
-    wanted = texts.join(met.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"]).select(
+    hit = met.select("digest").distinct()
+    wanted = reduced(texts, "digest", hit, "digest").join(hit, "digest").dropDuplicates(["digest"]).select(
         "digest", words(F.col("text")).alias("own"))
     both = met.join(wanted, "digest").join(item_words.select("item", "item_words"), "item")
     starts = _equal_windows(F.col("own"), F.col("item_words"), F.col("place"), F.col("item_place"), F.col("span"))
