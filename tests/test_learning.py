@@ -187,6 +187,23 @@ def _accuracy(df):
     return M.accuracy_f1(df).first().accuracy
 
 
+def test_rows_that_lose_all_terms_are_neighbours(spark):
+    """Seven of eight documents have ``aa``, so it is pruned: those left without terms are all at distance 0."""
+    texts = ["aa", "aa aa", "", "aa bb cc", "aa bb cc dd", "aa ee", "aa ff", "aa gg"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    near = N.neighbourhood(term_freq(docs, "id", "text"), docs.select("id"), "id")
+    degree = {r.id: r.degree for r in near.members.join(N.rep_degrees(near), "rep").collect()}
+    assert [degree[i] for i in range(3)] == [3, 3, 3] and degree[5] == degree[6] == 1
+
+
+def test_components_of_a_long_path(spark):
+    path = [*range(1, 61), 0]
+    edges = spark.createDataFrame(list(zip(path, path[1:])), "a long, b long")
+    nodes = spark.range(70).withColumnRenamed("id", "node")
+    roots = {r.node: r.root for r in C.connected_components(nodes, edges).collect()}
+    assert all(roots[i] == 0 for i in range(61)) and all(roots[i] == i for i in range(61, 70))
+
+
 def test_long_learners(spark, toy):
     _, long, index, docs = toy
     train, test = docs.filter("part = 'trainset'"), docs.filter("part = 'testset'")
