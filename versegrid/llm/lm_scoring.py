@@ -33,9 +33,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from versegrid.session import stage
+from versegrid.session import drop_staged, stage
 
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 BUCKET = 1 << 21
 STEP = 0.05
 CLASSES = 64
@@ -65,12 +65,36 @@ def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return value ^ (value >> np.uint64(32))
 
 
-def _pack(values: np.ndarray, kind: str) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype(kind)).tobytes())
+def _pack(values: np.ndarray) -> bytes:
+    """Numbers below 2 ** 32, one byte plane after the other, compressed."""
+    planes = np.ascontiguousarray(values.astype("<u4")).view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
-def _unpack(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+
+
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """Counts of any size: low and high halves."""
+    return _pack(np.concatenate([counts & 0xFFFFFFFF, counts >> 32]))
+
+
+def _unpack_counts(data: bytes) -> np.ndarray:
+    halves = _unpack(data).astype(np.int64).reshape(2, -1)
+    return halves[0] | halves[1] << 32
+
+
+def _short(hashes: np.ndarray) -> bytes:
+    """The low 48 bits. A bucket has some two million hashes however large the corpus, so no two of it are likely to agree."""
+    return np.ascontiguousarray(hashes.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _long(data: bytes) -> np.ndarray:
+    octets = np.zeros((len(data) // 6, 8), np.uint8)
+    octets[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return octets.view("<u8").reshape(-1)
 
 
 def blocks(docs: DataFrame, key: str, text: str, held_out: Column, size: int = BLOCK) -> DataFrame:
@@ -87,7 +111,7 @@ def blocks(docs: DataFrame, key: str, text: str, held_out: Column, size: int = B
             return pa.record_batch([
                 pa.array([TaskContext.get().partitionId() << 32 | number], pa.int64()), pa.array([keys], pa.list_(key_type)),
                 pa.array([flags], pa.list_(pa.bool_())), pa.array([[len(p) - 1 for p in parts]], pa.list_(pa.int32())),
-                pa.array([words.tobytes()], pa.binary()), pa.array([_pack(index, "<u4")], pa.binary()),
+                pa.array([words.tobytes()], pa.binary()), pa.array([_pack(index)], pa.binary()),
                 pa.array([len(words) + len(np.unique(codes))], pa.int64())],
                 names=["block", "keys", "held_out", "lengths", "words", "stream", "n_keys"])
 
@@ -120,17 +144,14 @@ def _pair_codes(index: np.ndarray, parts: list[int], n: int) -> np.ndarray:
 class Block:
     """One block's documents as arrays."""
 
-    def __init__(self, held_out, lengths, words: bytes, stream: bytes):
-        self.lengths = np.asarray(lengths, np.int64)
-        self.words = np.frombuffer(words, np.uint64)
-        index = _unpack(stream, "<u4")
-        parts = self.lengths + 1
-        codes = _pair_codes(index, parts, len(self.words))
-        self.pairs, self.pair = np.unique(codes, return_inverse=True)
+    def __init__(self, row: dict):
+        self.lengths = np.asarray(row["lengths"], np.int64)
+        self.words = np.frombuffer(row["words"], np.uint64)
+        self.held_out = np.asarray(row["held_out"], bool)
+        index, parts = _unpack(row["stream"]), self.lengths + 1
+        self.pairs, self.pair = np.unique(_pair_codes(index, parts, len(self.words)), return_inverse=True)
         self.word = np.delete(index, _starts(parts))
-        self.before = (self.pairs // len(self.words))[self.pair]
-        self.trains = np.repeat(~np.asarray(held_out, bool), self.lengths)
-        self.n_training = int((~np.asarray(held_out, bool)).sum())
+        self.trains = np.repeat(~self.held_out, self.lengths)
 
     def asked(self, order: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes of one order, the places that sort them by bucket, and where each bucket begins."""
@@ -146,7 +167,7 @@ class Block:
         if order == 2:
             return np.bincount(self.pair[self.trains], minlength=len(self.pairs))
         counts = np.bincount(self.word[self.trains], minlength=len(self.words))
-        counts[np.searchsorted(self.words, START)] += self.n_training
+        counts[np.searchsorted(self.words, START)] += int((~self.held_out).sum())
         return counts
 
 
@@ -154,7 +175,7 @@ def _asked_rows(stored: DataFrame, buckets: int) -> DataFrame:
     def ask(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             for row in batch.to_pylist():
-                block = Block(row["held_out"], row["lengths"], row["words"], row["stream"])
+                block = Block(row)
                 for order in (1, 2):
                     hashes, places, bounds = block.asked(order, buckets)
                     hashes, counts = hashes[places], block.training_counts(order)[places]
@@ -162,8 +183,8 @@ def _asked_rows(stored: DataFrame, buckets: int) -> DataFrame:
                     cut = [slice(bounds[i], bounds[i + 1]) for i in full]
                     yield pa.record_batch([
                         pa.array([row["block"]] * len(full), pa.int64()), pa.array([order] * len(full), pa.int32()),
-                        pa.array(full, pa.int64()), pa.array([hashes[c].tobytes() for c in cut], pa.binary()),
-                        pa.array([_pack(counts[c], "<u4") for c in cut], pa.binary())],
+                        pa.array(full, pa.int64()), pa.array([_short(hashes[c]) for c in cut], pa.binary()),
+                        pa.array([_pack(counts[c]) for c in cut], pa.binary())],
                         names=["block", "order", "bucket", "hashes", "counts"])
 
     return stored.select("block", "held_out", "lengths", "words", "stream").mapInArrow(
@@ -173,13 +194,13 @@ def _asked_rows(stored: DataFrame, buckets: int) -> DataFrame:
 def _answers(asked: DataFrame) -> DataFrame:
     """``(block, order, bucket, counts, distinct)``: totals per asked hash; ``distinct`` words once per bucket."""
     def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.frombuffer(h, np.uint64) for h in pdf["hashes"]]
+        parts = [_long(h) for h in pdf["hashes"]]
         unique, place = np.unique(np.concatenate(parts), return_inverse=True)
-        counts = np.concatenate([_unpack(c, "<u4") for c in pdf["counts"]])
+        counts = np.concatenate([_unpack(c) for c in pdf["counts"]])
         total = np.bincount(place, counts, len(unique)).astype(np.int64)
         seen = int(((total > 0) & (unique != START)).sum()) if pdf["order"].iloc[0] == 1 else 0
         ends = np.cumsum([len(p) for p in parts])
-        answers = [_pack(total[place[e - len(p):e]], "<u8") for e, p in zip(ends, parts)]
+        answers = [_pack_counts(total[place[e - len(p):e]]) for e, p in zip(ends, parts)]
         return pd.DataFrame({"block": pdf["block"], "order": pdf["order"], "bucket": pdf["bucket"], "counts": answers,
                              "distinct": [seen] + [0] * (len(parts) - 1)})
 
@@ -187,23 +208,44 @@ def _answers(asked: DataFrame) -> DataFrame:
         add_up, "block long, order int, bucket long, counts binary, distinct long")
 
 
-def _counted(row: dict, buckets: int) -> tuple[Block, np.ndarray, np.ndarray, np.ndarray]:
-    """A block and, per token, the counts of the word, of the word before, and of their pair."""
-    block, totals = Block(row["held_out"], row["lengths"], row["words"], row["stream"]), []
-    for order in (1, 2):
-        hashes, places, _ = block.asked(order, buckets)
-        parts = sorted((a["bucket"], a["counts"]) for a in row["answers"] if a["order"] == order)
-        total = np.empty(len(hashes), np.int64)
-        total[places] = np.concatenate([_unpack(c, "<u8").astype(np.int64) for _, c in parts])
-        totals.append(total)
-    return block, totals[0][block.word], totals[0][block.before], totals[1][block.pair]
+def _with_counts(joined: DataFrame, kind: str, buckets: int) -> DataFrame:
+    """Per block its documents, the count of the start mark, and per token the counts of the word and of its pair with the one before."""
+    def put(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                (values,) = row.drop_columns(["keys"]).to_pylist()
+                block, totals = Block(values), []
+                for order in (1, 2):
+                    hashes, places, _ = block.asked(order, buckets)
+                    parts = sorted((a["bucket"], a["counts"]) for a in values["answers"] if a["order"] == order)
+                    total = np.empty(len(hashes), np.int64)
+                    total[places] = np.concatenate([_unpack_counts(c) for _, c in parts])
+                    totals.append(total)
+                start = int(totals[0][np.searchsorted(block.words, START)])
+                yield pa.RecordBatch.from_arrays(
+                    [row.column("keys"), row.column("held_out"), row.column("lengths"),
+                     pa.array([start], pa.int64()), pa.array([_pack_counts(totals[0][block.word])], pa.binary()),
+                     pa.array([_pack_counts(totals[1][block.pair])], pa.binary())],
+                    names=["keys", "held_out", "lengths", "start", "word", "pair"])
+
+    return joined.mapInArrow(put, f"keys array<{kind}>, held_out array<boolean>, lengths array<int>, "
+                                  "start long, word binary, pair binary")
+
+
+def _counted(row: dict) -> tuple[np.ndarray, ...]:
+    """Lengths, which documents are held out, and per token the counts of the word, of the word before, and of their pair."""
+    lengths, word = np.asarray(row["lengths"], np.int64), _unpack_counts(row["word"])
+    before = np.concatenate([[0], word[:-1]])
+    before[_starts(lengths)] = row["start"]
+    return lengths, np.asarray(row["held_out"], bool), word, before, _unpack_counts(row["pair"])
 
 
 def _size_class(count: np.ndarray) -> np.ndarray:
     return np.where(count > 0, np.frexp(count.astype(np.float64))[1], 0)
 
 
-def held_out_counts(counted: DataFrame, n: int, buckets: int) -> DataFrame:
+def held_out_counts(counted: DataFrame, n: int) -> DataFrame:
     """``(class, q2, q1, n)``: training tokens by size class and grid cell of both estimates, each token left out; -1 is zero."""
     def grid(p: np.ndarray) -> np.ndarray:
         with np.errstate(divide="ignore"):
@@ -212,8 +254,8 @@ def held_out_counts(counted: DataFrame, n: int, buckets: int) -> DataFrame:
     def count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             for row in batch.to_pylist():
-                block, word, before, pair = (_counted(row, buckets))
-                t = block.trains
+                lengths, held_out, word, before, pair = _counted(row)
+                t = np.repeat(~held_out, lengths)
                 word, before, pair = word[t] - 1, before[t] - 1, pair[t] - 1
                 q2 = grid(np.where(before > 0, pair / np.maximum(before, 1), 0))
                 q1 = grid(word / max(n - 1, 1))
@@ -222,7 +264,7 @@ def held_out_counts(counted: DataFrame, n: int, buckets: int) -> DataFrame:
                 yield pa.record_batch([*[pa.array(c, pa.int64()) for c in cells], pa.array(number, pa.int64())],
                                       names=["class", "q2", "q1", "n"])
 
-    return counted.mapInArrow(count, "class long, q2 long, q1 long, n long").groupBy("class", "q2", "q1").agg(F.sum("n").alias("n"))
+    return counted.drop("keys").mapInArrow(count, "class long, q2 long, q1 long, n long").groupBy("class", "q2", "q1").agg(F.sum("n").alias("n"))
 
 
 def learned_weights(cells: list, vocabulary: int) -> np.ndarray:
@@ -248,22 +290,22 @@ def learned_weights(cells: list, vocabulary: int) -> np.ndarray:
     return weights
 
 
-def scored(counted: DataFrame, kind: str, n: int, vocabulary: int, weights: np.ndarray, buckets: int) -> DataFrame:
+def scored(counted: DataFrame, kind: str, n: int, vocabulary: int, weights: np.ndarray) -> DataFrame:
     """``(key, held_out, n_tokens, n_known, base_score, score)`` per document."""
     base = log10(n + vocabulary + 1)
 
     def score(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             for i, row in enumerate(batch.to_pylist()):
-                block, word, before, pair = _counted(row, buckets)
-                at = _starts(block.lengths)
+                lengths, held_out, word, before, pair = _counted(row)
+                at = _starts(lengths)
                 own = weights[_size_class(before)]
                 p = own[:, 0] * pair / np.maximum(before, 1) + own[:, 1] * word / max(n, 1) + own[:, 2] / (vocabulary + 1)
                 if not n:
                     p = np.ones(len(p))
                 yield pa.record_batch([
-                    batch.column(batch.schema.get_field_index("keys"))[i].values, pa.array(row["held_out"], pa.bool_()),
-                    pa.array(block.lengths, pa.int64()), pa.array(np.add.reduceat((word > 0).astype(np.int64), at), pa.int64()),
+                    batch.column(batch.schema.get_field_index("keys"))[i].values, pa.array(held_out, pa.bool_()),
+                    pa.array(lengths, pa.int64()), pa.array(np.add.reduceat((word > 0).astype(np.int64), at), pa.int64()),
                     pa.array(np.add.reduceat(np.log10(word + 1.0) - base, at), pa.float64()),
                     pa.array(np.add.reduceat(np.log10(p), at), pa.float64())],
                     names=["key", "held_out", "n_tokens", "n_known", "base_score", "score"])
@@ -284,8 +326,9 @@ def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text
     answers = stage(_answers(_asked_rows(stored, buckets)), "lm-answers")
     vocabulary = answers.agg(F.sum("distinct")).first()[0] or 0
     packs = answers.groupBy("block").agg(F.collect_list(F.struct("order", "bucket", "counts")).alias("answers"))
-    counted = stage(stored.drop("n_keys").join(packs, "block"), "lm-counted")
+    counted = stage(_with_counts(stored.drop("n_keys").join(packs, "block"), kind, buckets), "lm-counted")
+    drop_staged(stored), drop_staged(answers)
     # at most CLASSES x (20 / STEP) ^ 2 cells
-    cells = held_out_counts(counted, n, buckets).select("class", "q2", "q1", "n").collect()
+    cells = held_out_counts(counted, n).select("class", "q2", "q1", "n").collect()
     weights = learned_weights(cells, vocabulary)
-    return scored(counted, kind, n, vocabulary, weights, buckets).withColumn("train_tokens", F.lit(n).cast("long"))
+    return scored(counted, kind, n, vocabulary, weights).withColumn("train_tokens", F.lit(n).cast("long"))
