@@ -47,6 +47,17 @@ def test_cleaned_text_keeps_offsets(spark):
         assert r.text == left
 
 
+def test_short_lines_and_scripts_without_spaces(spark):
+    zh, ja, th = "我们今天在北京的一家小餐馆里吃了很多好吃的菜。", "昨日は友達と一緒に東京の美術館へ行きました！", "วันนี้เราไปตลาดเพื่อซื้อผลไม้และผักสดมากมาย"
+    hi = "यह एक छोटा सा वाक्य है जो दो बार आता है।"
+    rows = [(1, f"Short line.\n}}\n{zh}甲乙\n{ja}丙\n{th} กขค\n{hi}अ"), (2, f"short  LINE.\n}}\n子丑。{zh}寅\n卯。{ja}\nงจฉ {th}\nआ।{hi}"),
+            (3, f"x {'a' * 50}. y"), (4, f"z. {'A' * 50}. w"), (5, f"x {'b' * 50}. y"), (6, f"z. x {'b' * 50}. w\nOne. Yes. Two"), (7, "3. Yes. 4")]
+    got = R.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    text = dict(rows)
+    assert {(r.doc_id, text[r.doc_id][r.start:r.stop]) for r in got} == {
+        (2, "short  LINE."), (2, "}"), (2, zh), (2, ja), (2, th), (2, hi), (6, f"x {'b' * 50}.")}
+
+
 def test_empty(no_docs, clashing):
     assert R.repeated(no_docs).count() == 0 and R.cleaned(no_docs).count() == 0
     assert R.repeated(clashing).count() > 0

@@ -1,8 +1,10 @@
 """Repeated lines and sentences, removed wherever they are not the first.
 
-Units are the lines of a text and the sentences inside lines, of ``LEAST`` words or
-more; passages are pasted into the middle of lines, whose own digest then says nothing.
-A unit is normalised (lower case, single spaces) and named by 128 bits of its hash.
+Units are the lines of a text, of any length, and the sentences inside lines, as passages
+are pasted into the middle of lines, whose own digest then says nothing. A sentence has
+``LEAST`` words or more, or five characters for each of these (long words), or two for
+each in a script without spaces. Sentences end at the stops of any script, and at blanks
+inside Thai, Lao, Khmer and Burmese, which have no other. A unit is normalised (lower case, single spaces) and named by 128 bits of its hash.
 Digests are counted globally with partial sums; the occurrence in the smallest
 document, and there the first one, is kept. All others are removed, with their offsets
 in the original text.
@@ -11,7 +13,7 @@ A digest that occurs everywhere is one row per task before the shuffle. Its occu
 are never gathered: the kept one joins back to them, and AQE splits that key. Units that
 occur once are held back by a bit map of the repeated digests and not shuffled again.
 
-Defined cases: null and empty texts have no units. A null id ranks last. Rows repeated
+Defined cases: null and empty texts have no units, nor have blank lines. A null id ranks last. Rows repeated
 with one id count as one document: what is kept in one is kept in all. Ties cannot
 occur, as a unit starts at one offset of a document once. Empty tables give no rows.
 Other columns are ignored, or kept by :func:`cleaned`.
@@ -33,7 +35,22 @@ from versegrid.session import stage
 
 LEAST = 8
 LINE = re.compile(r"[^\n]+")
-SENTENCE_END = re.compile(r"[.!?]+(?=\s)")
+#: Thai, Lao, Burmese and Khmer.
+PHRASED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff"
+#: Scripts without spaces between words: those, Tibetan, kana, Bopomofo and Han.
+UNSPACED = re.compile(f"[{PHRASED}\u0f00-\u0fff\u3005-\u3007\u3040-\u312f\u31a0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+#: Closing marks that belong to the sentence before them.
+CLOSING = "[\"')\\]\u00bb\u2019\u201d\u3009\u300b\u300d\u300f\u3011\uff09\uff63]*"
+#: Latin stops need a blank behind them, as they also stand inside numbers and names; the others do not.
+SENTENCE_END = re.compile(
+    rf"[.!?]+{CLOSING}(?=\s)"
+    "|[\u3002\uff01\uff0e\uff1f\uff61\u0589\u061f\u06d4\u0700-\u0702\u0964\u0965\u0f0d\u0f0e\u104a\u104b\u1362\u1367\u1368\u17d4\u17d5\u1803\u1809]+" + CLOSING
+    + f"|(?<=[{PHRASED}])(?=[ \t]+[{PHRASED}])")
+
+
+def _long_enough(raw: str, words: list[str], least: int) -> bool:
+    return len(words) >= least or sum(map(len, words)) >= 5 * least or (
+        not raw.isascii() and len(UNSPACED.findall(raw)) >= 2 * least)
 
 
 def spans(text: str, least: int = LEAST) -> Iterator[tuple[int, int, int, int, bytes]]:
@@ -45,7 +62,7 @@ def spans(text: str, least: int = LEAST) -> Iterator[tuple[int, int, int, int, b
         for whole, (start, stop) in [(True, (low, high)), *((False, p) for p in pieces)]:
             raw = text[start:stop]
             words = raw.split()
-            if len(words) >= least:
+            if words and (whole or _long_enough(raw, words, least)):
                 start += len(raw) - len(raw.lstrip())
                 yield start, stop, low, len(words), whole, xxhash.xxh3_128_digest(" ".join(words).lower().encode("utf-8", "surrogatepass"))
 
