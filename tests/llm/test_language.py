@@ -37,3 +37,14 @@ def test_nothing_to_learn_and_filter(spark, clashing, no_docs):
     out = L.recognised(clashing, L.prototypes(clashing))
     assert out.columns == clashing.columns and not {80, 81, 82} & {r.doc_id for r in out.collect()}
     assert L.recognised(no_docs, learned).count() == 0
+
+
+def test_letters_above_the_base_plane(spark):
+    rng = random.Random(3)
+    adlam = [chr(c) for c in range(0x1E922, 0x1E944)]
+    rows = [(f"g{i}", " ".join("".join(rng.choices(adlam, k=4)) for _ in range(30)), "ff" if i else None) for i in range(9)]
+    df = corpus(spark).unionByName(spark.createDataFrame([*rows, ("m", "\U00020000\U00020001 𝒳𝒴", None)], "doc_id string, text string, lang string"))
+    learned = L.prototypes(df)
+    got = {r.doc_id: r.lang_pred for r in L.predictions(df, learned).collect()}
+    assert got["g0"] == "ff" and got["m"] != "und" and got["n"] == "und"
+    assert L.bundle("𝒳") is not None and L.bundle("\U0001F600") is None

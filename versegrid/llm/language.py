@@ -44,10 +44,10 @@ _tables: dict[str, np.ndarray] = {}
 
 
 def _letter_table() -> np.ndarray:
-    """Number of the vector of each code point of the base plane; 0 is everything that is no letter."""
+    """Number of the vector of each code point; 0 is everything that is no letter."""
     if "letters" not in _tables:
-        numbers = np.zeros(0x10000, np.int64)
-        for code in range(0x10000):
+        numbers = np.zeros(0x110000, np.int16)
+        for code in range(0x110000):
             if chr(code).isalpha():
                 numbers[code] = code if code < DIRECT else DIRECT + code * 2654435761 % 4294967296 % (LETTERS - DIRECT)
         _tables["letters"] = numbers
@@ -66,7 +66,7 @@ def _vectors() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def bundle(text: str | None) -> np.ndarray | None:
     """The unit-length bundle of a text's trigrams; None without letters. Runs of other characters count as one gap."""
     codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letters = np.where(codes < 0x10000, _letter_table()[np.minimum(codes, 0xFFFF)], 0)
+    letters = _letter_table()[codes].astype(np.int64)
     if not letters.any():
         return None
     letters = np.concatenate([[0], letters, [0]])
