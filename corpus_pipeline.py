@@ -11,8 +11,9 @@ from versegrid.session import stage
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language, by prototypes of the labelled ones."""
-    return language.recognised(docs, language.prototypes(docs))
+    """Documents in a known language, by prototypes of the labelled ones and the cut-offs these give."""
+    learned = language.prototypes(docs)
+    return language.recognised(docs, learned, lowest=language.cutoffs(docs, learned))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

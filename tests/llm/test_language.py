@@ -48,3 +48,16 @@ def test_letters_above_the_base_plane(spark):
     got = {r.doc_id: r.lang_pred for r in L.predictions(df, learned).collect()}
     assert got["g0"] == "ff" and got["m"] != "und" and got["n"] == "und"
     assert L.bundle("𝒳") is not None and L.bundle("\U0001F600") is None
+
+
+def test_random_letters_and_unlearned_languages_go(spark, tmp_path):
+    import corpus_pipeline as P
+
+    rng = random.Random(11)
+    letters = [("r%d" % i, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(40)), None) for i in range(20)]
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto."
+    other = [("fi", finnish, None), ("ru", "Все люди рождаются свободными и равными в своем достоинстве и правах.", None)]
+    df = corpus(spark)
+    known = {r.doc_id for r in df.collect()} - {"n", "e", "x", "u"}
+    mixed = df.unionByName(spark.createDataFrame(letters + other, "doc_id string, text string, lang string"))
+    assert {r.doc_id for r in P.known_language(spark, mixed, str(tmp_path)).collect()} == known

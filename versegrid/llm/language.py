@@ -37,6 +37,10 @@ DIRECT = 0x250
 LETTERS = 1024
 #: Bundles are scaled to this length and rounded, so that sums are exact.
 UNIT = 1 << 20
+#: Cosines are rounded to one part in this many for the cut-offs, so that sums are exact.
+GRAIN = 4096
+#: Fewest labelled documents that a cut-off is taken from.
+ENOUGH = 16
 #: Trigrams bound at once.
 BLOCK = 2048
 
@@ -65,10 +69,15 @@ def _vectors() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def bundle(text: str | None) -> np.ndarray | None:
     """The unit-length bundle of a text's trigrams; None without letters. Runs of other characters count as one gap."""
+    return _sized_bundle(text)[0]
+
+
+def _sized_bundle(text: str | None) -> tuple[np.ndarray | None, int]:
+    """The bundle, and the number of its distinct trigrams."""
     codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     letters = _letter_table()[codes].astype(np.int64)
     if not letters.any():
-        return None
+        return None, 0
     letters = np.concatenate([[0], letters, [0]])
     letters = letters[np.concatenate([[True], (letters[1:] != 0) | (letters[:-1] != 0)])]
     grams, counts = np.unique((letters[:-2] * LETTERS + letters[1:-1]) * LETTERS + letters[2:], return_counts=True)
@@ -79,7 +88,7 @@ def bundle(text: str | None) -> np.ndarray | None:
         bound = two[g // (LETTERS * LETTERS)] * one[g // LETTERS % LETTERS] * none[g % LETTERS]
         total += counts[i:i + BLOCK].astype(np.float32) @ bound.astype(np.float32)
     length = np.linalg.norm(total)
-    return total / length if length else None
+    return (total / length, len(grams)) if length else (None, 0)
 
 
 def prototypes(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
@@ -107,30 +116,80 @@ def prototypes(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[
 
 
 def _judge(learned: dict[str, np.ndarray]):
-    """A function from a text to its language and score."""
+    """A function from a text to its language and score, its plain cosine (no mean taken out) and its number of distinct trigrams."""
     names = [n for n in learned if n]
     matrix = np.array([learned[n] / (np.linalg.norm(learned[n]) or 1) for n in names])
     mean = learned.get("")
+    plain = [learned[n] + (0 if mean is None else mean) for n in names]
 
-    def judge(text: str | None) -> tuple[str, float]:
-        own = bundle(text) if names else None
-        if own is None:
-            return UNKNOWN, 0.0
-        own = own if mean is None else own - mean
+    def judge(text: str | None) -> tuple[str, float, float, int]:
+        whole, size = _sized_bundle(text) if names else (None, 0)
+        if whole is None:
+            return UNKNOWN, 0.0, 0.0, 0
+        own = whole if mean is None else whole - mean
         near = matrix @ own / (np.linalg.norm(own) or 1)
         k = int(near.argmax())
-        return names[k], float(min(1.0, max(0.0, near[k])))
+        return names[k], float(min(1.0, max(0.0, near[k]))), float(plain[k] @ whole), size
 
     return judge
 
 
-def recognised(docs: DataFrame, learned: dict[str, np.ndarray], text: str = "text", least: float = 0.0) -> DataFrame:
-    """``docs`` without those of no known language: no letters, or a cosine of ``least`` or below to every prototype."""
+def cutoffs(docs: DataFrame, learned: dict[str, np.ndarray], text: str = "text", lang: str = "lang") -> dict[tuple[str, int], float]:
+    """Lowest plain cosine of a text per language and binary order of its number of distinct trigrams.
+
+    From the labelled documents that are recognised as what they are: four deviations
+    below their mean, or a third of the mean if that is less. Short and repetitive texts score low by nature,
+    hence the orders. One with fewer than ``ENOUGH`` documents has the cut-off of the next
+    smaller one that has them, as longer texts score higher, or half of the next larger
+    one's for each order between. A language without any such order has no cut-off.
+    """
+    def sums(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge, total = _judge(learned), {}
+        for batch in stream:
+            for label, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                name, _, plain, size = judge(t)
+                if name == label and size:
+                    n, x, xx = total.get((name, size.bit_length()), (0, 0, 0))
+                    whole = round(plain * GRAIN)  # sums of integers do not depend on their order
+                    total[name, size.bit_length()] = n + 1, x + whole, xx + whole * whole
+        yield pa.record_batch([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.int64()),
+                               *[pa.array([v[i] for v in total.values()], pa.int64()) for i in range(3)]],
+                              names=["lang", "size", "n", "x", "xx"])
+
+    labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(lang, text)
+    rows = labelled.mapInArrow(sums, "lang string, size long, n long, x long, xx long").groupBy("lang", "size").agg(
+        F.sum("n").alias("n"), F.sum("x").alias("x"), F.sum("xx").alias("xx")).filter(F.col("n") >= ENOUGH)
+    found = {}
+    for r in rows.collect():  # at most 64 orders for each of at most MOST_LANGUAGES languages
+        mean = r["x"] / r["n"]
+        spread = max(0.0, r["xx"] / r["n"] - mean * mean) ** 0.5
+        found[r["lang"], r["size"]] = min(mean - 4 * spread, mean / 3) / GRAIN
+    filled = {}
+    for name in {k for k, _ in found}:
+        own = sorted(size for k, size in found if k == name)
+        for size in range(1, 65):
+            near = max((x for x in own if x <= size), default=own[0])
+            filled[name, size] = found[name, near] * 0.5 ** max(0, near - size)
+    return filled
+
+
+def recognised(docs: DataFrame, learned: dict[str, np.ndarray], text: str = "text", least: float = 0.0,
+               lowest: dict[tuple[str, int], float] | None = None) -> DataFrame:
+    """``docs`` without those of no known language.
+
+    Those are texts without letters, and those whose plain cosine to the nearest
+    prototype is below the cut-off in ``lowest`` (see :func:`cutoffs`), or ``least`` or
+    below where that has none.
+    """
     def keep(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = _judge(learned)
         for batch in stream:
-            found = [judge(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            yield batch.filter(pa.array([name != UNKNOWN and score > least for name, score in found], pa.bool_()))
+            stay = []
+            for t in batch.column(batch.schema.get_field_index(text)).to_pylist():
+                name, _, plain, size = judge(t)
+                low = (lowest or {}).get((name, size.bit_length()))
+                stay.append(name != UNKNOWN and (plain > least if low is None else plain >= low))
+            yield batch.filter(pa.array(stay, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 
