@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versegrid.llm import decontaminate, language, lm_scoring, mixing, near_dedup, repeated_units, secrets, syncmers, token_files, warc
+from versegrid.llm import (
+    decontaminate, fim, language, lm_scoring, mixing, near_dedup, packing, repeated_units, secrets, syncmers, token_files,
+    vector_codes, warc,
+)
 from versegrid.llm.common import crc_mod, table
 from versegrid.session import staging_path
 
@@ -179,3 +182,89 @@ def op9_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return lm_scoring.score_documents(docs, crc_mod(F.col("doc_id"), 7) == 2).select(
         F.col("key").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@register
+def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document cut into sequences of power-of-two lengths, from the stored sequences."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    sequences = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.packed_pieces(sequences).withColumnRenamed("key", "doc_id")
+
+
+@register
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Product codes of every vector, and what they lose."""
+    coded, books = vector_codes.vector_codes(table(spark, folder, "embeddings"))
+    return coded.select(F.col("key").alias("vec_id"), "code", "error", "label_error",
+                        F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+def _code_rounds() -> str:
+    """One pair of tables per round: choices ``a`` of every part, and the entries ``b`` they lead to."""
+    def choose(k: int) -> str:
+        return f"""
+a{k} AS MATERIALIZED (
+  SELECT vec_id, label, part, min(far * 256 + entry) % 256 AS entry, min(far * 256 + entry) // 256 AS far FROM (
+    SELECT p.vec_id, p.label, p.part, b.entry, list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS far
+    FROM p JOIN b{k} b USING (part)) GROUP BY ALL)"""
+
+    def move(k: int) -> str:
+        return f""",
+s{k} AS (
+  SELECT part, entry, i, sum(x)::BIGINT AS total, count(*)::BIGINT AS n FROM (
+    SELECT a.part, a.entry, unnest(range(1, len(p.v) + 1)) AS i, unnest(p.v) AS x FROM a{k} a JOIN p USING (vec_id, part)) GROUP BY ALL),
+m{k} AS (SELECT part, entry, list((total - ((total % n) + n) % n) // n ORDER BY i) AS v FROM s{k} GROUP BY ALL),
+b{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.v, b.v) AS v FROM b{k} b LEFT JOIN m{k} m USING (part, entry)),"""
+
+    return "".join(choose(k) + move(k) for k in range(vector_codes.ROUNDS)) + choose(vector_codes.ROUNDS)
+
+
+ORACLE["op12_vector_codes"] = f"""
+WITH q AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (
+  SELECT vec_id, label, part, v[part * len(v) // 4 + 1:(part + 1) * len(v) // 4] AS v FROM q, (SELECT unnest(range(4)) AS part)),
+b0 AS MATERIALIZED (
+  SELECT part, entry, v FROM p JOIN (
+    SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM q ORDER BY vec_id LIMIT 256) USING (vec_id)),
+{_code_rounds()},
+c AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(far)::BIGINT AS error
+      FROM a{vector_codes.ROUNDS} GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{vector_codes.ROUNDS})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM c, h
+"""
+
+
+@register
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text transformed, and rebuilt from what came out."""
+    made = fim.fill_in_middle(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "fim.*")
+    back = fim.restore(made, F.col("output"), F.col("form"))
+    return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias(
+        "output_sha256"), F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256"))
+
+
+ORACLE["op13_fill_in_middle"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u
+  FROM documents),
+c AS (
+  SELECT *, len(u)::BIGINT AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(u) + 1) AS c1, ('0x' || substr(h, 9, 8))::BIGINT % (len(u) + 1) AS c2,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                   OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 50 THEN 'plain'
+              WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM d),
+s AS (
+  SELECT *, coalesce(array_to_string(u[1:least(c1, c2)], ''), '') AS p,
+         coalesce(array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], ''), '') AS m,
+         coalesce(array_to_string(u[greatest(c1, c2) + 1:], ''), '') AS s
+  FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+              ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM s
+"""
