@@ -12,7 +12,8 @@ task and place (see :func:`sequence_ids`), so it is unique without a global coun
 stored table is what counts: a lost task is run again on the same rows and only its
 committed files are read.
 
-Only the texts of one Arrow batch and the ids of about ``bpe.GROUP`` characters are in memory.
+Only the texts of one Arrow batch, the ids of about ``bpe.GROUP`` characters and a bounded
+table of known words are in memory.
 
 Defined cases: a null text is empty, and an empty one is its end id alone, a piece of
 length 1. Null keys stay; rows repeated with one key are packed each for itself. An
@@ -72,31 +73,28 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     def cut(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task = bpe.encoder(tokenizer), TaskContext.get().partitionId()
         placed = np.zeros(most.bit_length(), np.int64)
-        try:
-            for batch in stream:
-                for first, texts in _groups(batch):
-                    ids = [x + end for x in encode.ids(texts)]
-                    sizes = np.array([len(x) // 4 for x in ids], np.int64)
-                    pieces = [[most] * (n // most) + tails[n % most] for n in sizes.tolist()]
-                    owner = np.repeat(np.arange(len(ids)), [len(p) for p in pieces])
-                    lengths = np.array([n for p in pieces for n in p], np.int64)
-                    ends = np.cumsum(lengths)
-                    level = np.log2(lengths).astype(np.int64)
-                    place = np.empty(len(lengths), np.int64)
-                    for k in range(len(placed)):
-                        mine = level == k
-                        place[mine] = placed[k] + np.arange(mine.sum())
-                        placed[k] += mine.sum()
-                    bounds = np.concatenate([[0], 4 * ends]).astype(np.int32)
-                    yield pa.record_batch([
-                        batch.column(0).take(pa.array(first + owner)),
-                        pa.array(ends - lengths - (np.cumsum(sizes) - sizes)[owner]), pa.array(sizes[owner]),
-                        pa.array(np.full(len(lengths), task, np.int32)), pa.array(place),
-                        pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(bounds), pa.py_buffer(b"".join(ids))]),
-                        pa.array(lengths.astype(np.int32))],
-                        names=["key", "start", "doc_tokens", "task", "place", "ids", "length"])
-        finally:
-            encode.forget()
+        for batch in stream:
+            for first, texts in _groups(batch):
+                ids = [x + end for x in encode.ids(texts)]
+                sizes = np.array([len(x) // 4 for x in ids], np.int64)
+                pieces = [[most] * (n // most) + tails[n % most] for n in sizes.tolist()]
+                owner = np.repeat(np.arange(len(ids)), [len(p) for p in pieces])
+                lengths = np.array([n for p in pieces for n in p], np.int64)
+                ends = np.cumsum(lengths)
+                level = np.log2(lengths).astype(np.int64)
+                place = np.empty(len(lengths), np.int64)
+                for k in range(len(placed)):
+                    mine = level == k
+                    place[mine] = placed[k] + np.arange(mine.sum())
+                    placed[k] += mine.sum()
+                bounds = np.concatenate([[0], 4 * ends]).astype(np.int32)
+                yield pa.record_batch([
+                    batch.column(0).take(pa.array(first + owner)),
+                    pa.array(ends - lengths - (np.cumsum(sizes) - sizes)[owner]), pa.array(sizes[owner]),
+                    pa.array(np.full(len(lengths), task, np.int32)), pa.array(place),
+                    pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(bounds), pa.py_buffer(b"".join(ids))]),
+                    pa.array(lengths.astype(np.int32))],
+                    names=["key", "start", "doc_tokens", "task", "place", "ids", "length"])
 
     kind = docs.select(key).schema[0].dataType.simpleString()
     pieces = docs.select(key, text).mapInArrow(
