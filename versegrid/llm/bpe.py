@@ -22,10 +22,10 @@ import re
 import numpy as np
 
 #: Bytes of one word table, by an estimate of Python's own cost per entry.
-TABLE_BYTES = 24 << 20
+TABLE_BYTES = 96 << 20
 ENTRY_BYTES = 200
 #: Characters of text that are looked up together.
-GROUP = 1 << 20
+GROUP = 1 << 18
 #: New words that are encoded as one text.
 RUN = 64
 #: Behind a letter or digit these always start a new piece (the apostrophe does not).
