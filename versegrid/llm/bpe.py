@@ -77,8 +77,8 @@ class Encoder:
             self._known, self._old, self._bytes = {}, self._known, 0
         new = words.difference(self._known)
         self._bytes += ENTRY_BYTES * len(new) + 2 * sum(map(len, new))
-        back = new.intersection(self._old)
-        self._known.update({w: self._old[w] for w in back})
+        back = {w: self._old[w] for w in new if w in self._old}  # asks for each word, where an intersection would go through the table
+        self._known.update(back)
         plain, joined = set(), []
         for word in new.difference(back):
             if word.isalnum():
