@@ -13,9 +13,8 @@ A task writes under a name of its own attempt and hands back a manifest row only
 the file is complete; the stored manifest, not the folder, says which files count. So a
 task that is lost or runs twice leaves at most a file that nobody reads.
 
-Only plane buffers of one chunk and the texts of one Arrow batch are in memory. Words
-are encoded once per worker and looked up afterwards; the split into words is one the
-tokenizer makes itself, so ids are those of the whole text.
+Only plane buffers of one chunk, the texts of one Arrow batch and the bounded word tables
+of :mod:`versegrid.llm.bpe` are in memory.
 
 Defined cases: a null text is empty and gets the end id alone; a null key sorts first
 and is kept; rows repeated with one key follow each other in order of text; an empty
@@ -26,7 +25,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -40,64 +38,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from versegrid.llm import bpe
 from versegrid.session import stage, staging_path
 
 MAGIC = b"VGTP1"
 END_ID = 2
 CHUNK = 1 << 18
-#: Encoded words that a worker keeps before it starts anew.
-KEPT_WORDS = 1_000_000
 #: Characters of text that are encoded together.
 GROUP = 1 << 20
-#: Pieces of a text that the tokenizer's own splitting never joins: a run of non-space
-#: characters with at most one space before it, or other white space.
-PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-#: White space other than one space before a piece.
-SPACES = re.compile(r"\A\s*\Z|.\s|\A[^\S ]", re.S)
-#: Characters that are white space to one of the two libraries only; such texts are encoded in one go.
-UNSURE = re.compile("[\x1c-\x1f\x85]")
-
-_encoders: dict[str, tuple] = {}
 
 
 def encoder(path: str):
-    """A function from texts to their ids as little-endian 32-bit bytes; one per worker and file."""
-    if path not in _encoders:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-        model = Tokenizer.from_file(path)
-        known: dict[str, bytes] = {}
-
-        def ids_of(text: str) -> np.ndarray:
-            return np.array(model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-        line_break = int(ids_of("\n")[0])
-
-        def learn(pieces: list[str]) -> None:
-            """Encode new pieces as the lines of one text: a line break is a token by itself and tells them apart."""
-            ids = ids_of("\n".join(pieces))
-            ends = [*np.flatnonzero(ids == line_break).tolist(), len(ids)]
-            if len(ends) != len(pieces):
-                raise ValueError("pieces do not match their ids")
-            data, at = ids.tobytes(), 0
-            for piece, end in zip(pieces, ends):
-                known[piece] = data[4 * at:4 * end]
-                at = end + 1
-
-        def encode(texts: list[str]) -> list[bytes]:
-            whole = {i: ids_of(t).tobytes() for i, t in enumerate(texts) if UNSURE.search(t) or "<|" in t}
-            cut = [[] if i in whole else PIECE.findall(t) for i, t in enumerate(texts)]
-            if len(known) > KEPT_WORDS:
-                known.clear()
-            new = {p for parts in cut for p in parts}.difference(known)
-            if plain := [p for p in new if not SPACES.search(p)]:
-                learn(plain)
-            for p in new.difference(known):
-                known[p] = ids_of(p).tobytes()
-            return [whole.get(i) or b"".join([known[p] for p in parts]) for i, parts in enumerate(cut)]
-
-        _encoders[path] = encode
-    return _encoders[path]
+    """A function from texts to their ids as little-endian 32-bit bytes."""
+    return bpe.encoder(path).ids
 
 
 def to_planes(ids: np.ndarray, plane: str) -> list[bytes]:
