@@ -17,6 +17,7 @@ from versegrid.functions import text as T
 from versegrid.functions.html_body import BodyRule
 from versegrid.functions.urls import track_urls
 from versegrid.operators import cluster as C
+from versegrid.operators import dense as D
 from versegrid.operators import genres as G
 from versegrid.operators import learners as L
 from versegrid.operators import metrics as M
@@ -38,6 +39,7 @@ NAV_LIST = P.LinkLayout(r"(?s)<nav>(.*?)</nav>", "<li>", r'<a href="([^"]*)">([^
 EVENT_GENRES = [(0, "browse", ["view", "click"]), (1, "commerce", ["purchase", "click"]),
                 (2, "view", ["signup"]), (3, "account", ["signup", "purchase"])]
 WEIGHT_DIGITS = 6
+DENSE_EPS = 1.2
 COST = 1.0  # of feature selection, one for all sizes of these tables
 
 
@@ -430,6 +432,14 @@ def kmeans(spark, sf):
     return C.kmeans(_embeddings(spark, sf), "vec_id")
 
 
+def eps_neighbours_dense(spark, sf):
+    return D.degrees(S.read_table(spark, sf, "embeddings"), "vec_id", "embedding", DENSE_EPS)
+
+
+def dbscan_dense(spark, sf):
+    return D.dbscan(S.read_table(spark, sf, "embeddings"), "vec_id", "embedding", DENSE_EPS)
+
+
 def _affinity(near, key):
     found = C.affinity_propagation(near.balls.select(F.col("rep").alias("node")), stage(C.similarity_edges(near), "edges"))
     return near.members.join(found.withColumnRenamed("node", "rep"), "rep").select(key, "exemplar")
@@ -574,6 +584,8 @@ QUERIES = {
     "top_terms": top_terms,
     "eps_neighbours": eps_neighbours,
     "dbscan": dbscan,
+    "eps_neighbours_dense": eps_neighbours_dense,
+    "dbscan_dense": dbscan_dense,
     "kmeans": kmeans,
     "affinity": affinity,
     "cluster_scores": cluster_scores,

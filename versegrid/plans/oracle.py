@@ -5,7 +5,7 @@ from __future__ import annotations
 from versegrid.functions import stem as P
 from versegrid.functions import text as T
 from versegrid.operators.tokens import STOP_WORDS
-from versegrid.plans.catalog import EVENT_GENRES
+from versegrid.plans.catalog import DENSE_EPS, EVENT_GENRES
 
 
 def _lit(value: str) -> str:
@@ -207,6 +207,11 @@ empty AS (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM w
 near AS MATERIALIZED (SELECT a, b FROM dots WHERE dot >= 0.955 - 1e-9 UNION SELECT p.doc_id, q.doc_id FROM empty p, empty q),
 deg AS MATERIALIZED (SELECT a AS doc_id, count(*) AS degree FROM near GROUP BY a)"""
 
+_DENSE_PAIRS = f"""WITH 
+near AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x, embeddings y
+  WHERE list_distance(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) <= {DENSE_EPS}),
+deg AS MATERIALIZED (SELECT a AS vec_id, count(*) AS degree FROM near GROUP BY a)"""
+
 _HOMOGENEITY = f"""WITH {_CORPUS}, p AS (SELECT tag AS c, lang AS k, count(*) AS n FROM corpus JOIN documents ON doc_id = trackid GROUP BY ALL),
 t AS (SELECT sum(n) AS t FROM p), cs AS (SELECT c, sum(n) AS s FROM p GROUP BY c), ks AS (SELECT k, sum(n) AS s FROM p GROUP BY k),
 h AS (SELECT (SELECT -sum(s / t * ln(s / t)) FROM cs, t) AS hc, (SELECT -sum(s / t * ln(s / t)) FROM ks, t) AS hk,
@@ -356,6 +361,15 @@ ORACLE = {
         border AS (SELECT near.a AS doc_id, min(root) AS root FROM near JOIN roots ON near.b = roots.doc_id WHERE near.a NOT IN (FROM core) GROUP BY near.a),
         numbered AS (SELECT root, dense_rank() OVER (ORDER BY root) - 1 AS c FROM (SELECT DISTINCT root FROM roots))
         SELECT d.doc_id, CAST(coalesce(c, -1) AS INTEGER) AS cluster FROM documents d LEFT JOIN (FROM roots UNION ALL FROM border) x USING (doc_id) LEFT JOIN numbered USING (root)""",
+    "eps_neighbours_dense": f"{_DENSE_PAIRS} SELECT vec_id, degree FROM deg",
+    "dbscan_dense": _DENSE_PAIRS.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+        core AS MATERIALIZED (SELECT vec_id FROM deg WHERE degree >= 5),
+        links AS MATERIALIZED (SELECT a, b FROM near WHERE a IN (FROM core) AND b IN (FROM core)),
+        reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+        roots AS MATERIALIZED (SELECT a AS vec_id, min(b) AS root FROM reach GROUP BY a),
+        border AS (SELECT near.a AS vec_id, min(root) AS root FROM near JOIN roots ON near.b = roots.vec_id WHERE near.a NOT IN (FROM core) GROUP BY near.a),
+        numbered AS (SELECT root, dense_rank() OVER (ORDER BY root) - 1 AS c FROM (SELECT DISTINCT root FROM roots))
+        SELECT e.vec_id, CAST(coalesce(c, -1) AS INTEGER) AS cluster FROM embeddings e LEFT JOIN (FROM roots UNION ALL FROM border) x USING (vec_id) LEFT JOIN numbered USING (root)""",
     "contingency": f"WITH {_CORPUS} SELECT tag, lang, count(*) AS n FROM corpus JOIN documents ON doc_id = trackid GROUP BY tag, lang",
     "homogeneity_completeness": _HOMOGENEITY,
     "naive_bayes": f"{_BAYES} SELECT * FROM predicted",
