@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.clustering import KMeans
@@ -9,11 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from versegrid.operators.neighbours import Neighbourhood, both_ways, rep_degrees
+from versegrid.operators.neighbours import Neighbourhood, both_ways, pair_dots, pairs_within, rep_degrees
 from versegrid.operators.ranking import global_row_number
 from versegrid.session import drop_staged, stage
 
 NOISE = -1
+#: Steps of one round of the median.
+BINS = 1024
 
 
 def kmeans(vectors: DataFrame, key: str, label: str = "label", runs: int = 10, max_iter: int = 100,
@@ -94,15 +97,54 @@ def dbscan(near: Neighbourhood, key: str, min_samples: int = 5) -> DataFrame:
 
 
 def similarity_edges(near: Neighbourhood) -> DataFrame:
-    """``(i, k, s)``: directed negative squared distances; ball members link to their centre."""
-    across = both_ways(near.cross).select(F.col("rep").alias("i"), F.col("other").alias("k"), "dot")
-    inside = near.balls.filter("rep <> ball").select("rep", "ball", F.col("to_centre").alias("dot"))
-    star = inside.select(F.explode(F.array(
-        F.struct(F.col("rep").alias("i"), F.col("ball").alias("k")),
-        F.struct(F.col("ball").alias("i"), F.col("rep").alias("k")),
-    )).alias("e"), "dot").select("e.i", "e.k", "dot")
-    return across.unionByName(star).groupBy("i", "k").agg(F.max("dot").alias("dot")).select(
-        "i", "k", (-F.greatest(2 - 2 * F.col("dot"), F.lit(0.0))).alias("s"))
+    """``(i, k, s)``: directed negative squared distances of all neighbouring representatives.
+
+    Pairs inside a ball are neighbours too; they are listed part by part of the ball. So the
+    edges are the same however balls formed.
+    """
+    inside = pairs_within(near.balls.select("ball", "rep"), "ball", "rep").select(
+        F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
+    pairs = near.cross.unionByName(pair_dots(inside, near.weights))
+    return both_ways(pairs).select(F.col("rep").alias("i"), F.col("other").alias("k"),
+                                   (-F.greatest(2 - 2 * F.col("dot"), F.lit(0.0))).alias("s"))
+
+
+def exact_median(df: DataFrame, column: str) -> float | None:
+    """The median of a column without nulls, None of an empty one.
+
+    Each round counts the values of ``BINS`` equal steps between the bounds and goes on
+    inside the steps that hold the middle, so the driver sees ``BINS`` counts a round and at
+    last at most ``BINS`` values, however long the column is.
+    """
+    bounds = df.agg(F.count("*").alias("n"), F.min(column).alias("low"), F.max(column).alias("high")).first()
+    if not bounds["n"]:
+        return None
+    value, low, high, below, left = F.col(column), bounds["low"], bounds["high"], 0, bounds["n"]
+    middle = ((left - 1) // 2, left // 2)
+    while left > BINS and low < high:
+        step = F.least(F.floor((value - low) / ((high - low) / BINS)), F.lit(BINS - 1))
+        counts = df.filter(value.between(low, high)).groupBy(step.alias("step")).agg(
+            F.count("*").alias("n"), F.min(column).alias("low"), F.max(column).alias("high")).orderBy("step").collect()
+        held, at = [], below
+        for row in counts:
+            if any(at <= m < at + row["n"] for m in middle):
+                held.append((at, row))
+            at += row["n"]
+        new_low, new_high = held[0][1]["low"], held[-1][1]["high"]
+        below, left = held[0][0], sum(row["n"] for _, row in held)
+        if len(held) == 2 and held[0][1]["high"] < held[1][1]["low"]:  # the middle lies between two steps
+            return (held[0][1]["high"] + held[1][1]["low"]) / 2
+        if (new_low, new_high) == (low, high):  # no number between the bounds any more
+            break
+        low, high = new_low, new_high
+    if low == high:
+        return low
+    rows = df.filter(value.between(low, high)).groupBy(column).agg(F.count("*").alias("n")).orderBy(column).collect()
+    values, at = [], below
+    for row in rows:
+        values += [row[column] for m in middle if at <= m < at + row["n"]]
+        at += row["n"]
+    return sum(values) / 2
 
 
 def affinity_propagation(nodes: DataFrame, edges: DataFrame, damping: float = 0.5, max_iter: int = 200,
@@ -113,9 +155,11 @@ def affinity_propagation(nodes: DataFrame, edges: DataFrame, damping: float = 0.
     similarity. A hash-based jitter far below any real difference breaks ties, which
     would let messages swing forever. Each round's state is stored, and the loop ends
     when the exemplars, looked at every fifth round, stay the same for ``settled`` rounds.
+    If they do not within ``max_iter`` rounds, the exemplars of the last round are the
+    result and a warning says so.
     """
-    preference = edges.agg(F.median("s")).scalar()
-    own = nodes.select(F.col("node").alias("i"), F.col("node").alias("k"), F.coalesce(preference, F.lit(0.0)).alias("s"))
+    preference = exact_median(edges, "s") or 0.0
+    own = nodes.select(F.col("node").alias("i"), F.col("node").alias("k"), F.lit(preference).alias("s"))
     jitter = F.lit(1e-9) * F.pmod(F.xxhash64("i", "k"), F.lit(1000))
     start = edges.unionByName(own).withColumn("s", F.col("s") - jitter)
     state = stage(start.withColumns({"r": F.lit(0.0), "a": F.lit(0.0)}), "affinity")
@@ -132,6 +176,8 @@ def affinity_propagation(nodes: DataFrame, edges: DataFrame, damping: float = 0.
         last = mark
         if calm >= settled:
             break
+    else:
+        warnings.warn(f"affinity propagation did not settle in {max_iter} rounds", RuntimeWarning, stacklevel=2)
     exemplars = state.filter("i = k AND r + a > 0").select("k")
     choice = state.join(exemplars, "k").groupBy("i").agg(
         F.max_by("k", F.struct(F.when(F.col("i") == F.col("k"), 1).otherwise(0), F.col("s"))).alias("k"))

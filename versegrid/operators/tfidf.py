@@ -47,17 +47,18 @@ def idf(tf: DataFrame, n_docs: Column, max_df: float = MAX_DF) -> DataFrame:
     return kept.withColumn("idf", F.log((1 + n_docs) / (1 + F.col("df"))) + 1)
 
 
-def weigh(tf: DataFrame, idf_table: DataFrame, key: str) -> DataFrame:
-    """``(key, term, weight)``: L2-normalised rows; terms without an IDF drop.
+def weigh(tf: DataFrame, idf_table: DataFrame, key: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(key, term, weight)`` and the columns of ``carry``: L2-normalised rows; terms without an IDF drop.
 
     With an IDF table small enough for Catalyst to broadcast, ``tf`` keeps its
     partitioning by key and the norm needs no exchange. A larger one joins by
     shuffle, where adaptive skew handling splits the frequent terms.
     """
-    raw = tf.join(idf_table.select("term", "idf"), "term").select(
-        key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("raw"))
+    listed = [c for c in idf_table.columns if c in ("term", "idf", *carry)]
+    raw = tf.join(idf_table.select(*listed), "term").select(
+        key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("raw"), *carry)
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy(key)))
-    return raw.select(key, "term", (F.col("raw") / norm).alias("weight"))
+    return raw.select(key, "term", (F.col("raw") / norm).alias("weight"), *carry)
 
 
 def fit_transform(tf: DataFrame, docs: DataFrame, key: str) -> DataFrame:
