@@ -120,3 +120,17 @@ def test_session_keeps_what_the_job_sets():
     env = os.environ | {"PYTHONPATH": root, "PYSPARK_SUBMIT_ARGS": "--master local[3] --conf spark.sql.shuffle.partitions=77 pyspark-shell"}
     out = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=300)
     assert out.stdout.split()[-2:] == ["local[3]", "77"], out.stderr[-500:]
+
+
+def test_genre_names_as_rows(spark, tmp_path):
+    from versegrid.operators.genres import alias_of_names, alias_to_genre
+    from versegrid.sources import tables as S
+
+    listed = [(0, "rock", ["indie", "punk"]), (1, "pop", ["indie", "rock"]), (2, "folk", [])]
+    lists = spark.createDataFrame(listed, "ord int, genre string, subgenres array<string>")
+    rows = [(o, g, n) for o, g, names in listed for n in names or [None]]
+    S.write_genre_names(spark.createDataFrame(rows, "ord int, genre string, name string").repartition(3), f"{tmp_path}/g")
+    names = S.read_genre_names(spark, f"{tmp_path}/g")
+    assert sorted(map(tuple, names.collect()), key=repr) == sorted(rows, key=repr)
+    want = [("folk", 2, "folk"), ("indie", 0, "rock"), ("pop", 1, "pop"), ("punk", 0, "rock"), ("rock", 0, "rock")]
+    assert sorted(map(tuple, alias_of_names(names).collect())) == want == sorted(map(tuple, alias_to_genre(lists).collect()))

@@ -25,8 +25,17 @@ def alias_to_genre(genres: DataFrame) -> DataFrame:
 
     A genre is its own alias, so matching a tag is one equality join.
     """
-    names = genres.select("ord", "genre", F.explode(F.concat(F.array("genre"), "subgenres")).alias("alias"))
-    first = names.groupBy("alias").agg(F.min(F.struct("ord", "genre")).alias("g"))
+    return alias_of_names(genres.select("ord", "genre", F.explode_outer("subgenres").alias("name")))
+
+
+def alias_of_names(names: DataFrame) -> DataFrame:
+    """As :func:`alias_to_genre`, from one row ``(ord, genre, name)`` per name; a null name stands for none.
+
+    Names are never gathered by genre, so a genre may list any number of them.
+    """
+    own = names.select("ord", "genre").distinct().select("ord", "genre", F.col("genre").alias("alias"))
+    every = names.filter("name IS NOT NULL").select("ord", "genre", F.col("name").alias("alias")).unionByName(own)
+    first = every.groupBy("alias").agg(F.min(F.struct("ord", "genre")).alias("g"))
     return first.select("alias", "g.ord", "g.genre")
 
 

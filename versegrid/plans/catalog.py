@@ -24,6 +24,7 @@ from versegrid.operators import metrics as M
 from versegrid.operators import neighbours as N
 from versegrid.operators import pages as P
 from versegrid.operators import tfidf as V
+from versegrid.operators.ranking import global_row_number
 from versegrid.operators.tokens import stem_dictionary, term_freq
 from versegrid.operators.tokens import tokens as token_rows
 from versegrid.plans import jobs
@@ -122,20 +123,23 @@ def shard_union(spark, sf):
 # -- genre list ---------------------------------------------------------------------------
 
 def _part_genres(spark, sf):
-    part = S.read_table(spark, sf, "part")
-    listed = part.groupBy("p_type").agg(F.array_sort(F.collect_set("p_name")).alias("subgenres"))
-    document = listed.agg(F.to_json(F.array_sort(F.collect_list(F.struct(F.col("p_type").alias("genre"), "subgenres")))).alias("value"))
+    """Types of parts as genres in alphabetical order, names of parts as their names; a row per name."""
+    listed = S.read_table(spark, sf, "part").select(F.col("p_type").alias("genre"), F.col("p_name").alias("name")).distinct()
+    numbered = global_row_number(listed.select("genre").distinct(), ["genre"], "no").select(
+        "genre", (F.col("no") - 1).cast("int").alias("ord"))
     path = staging_path(spark, "genres")
-    document.write.text(path)
-    return S.read_genres(spark, path)
+    S.write_genre_names(listed.join(numbered, "genre"), path)
+    return S.read_genre_names(spark, path)
 
 
 def genre_dim(spark, sf):
-    return _part_genres(spark, sf).select("ord", "genre", F.array_join("subgenres", "|").alias("subgenres"))
+    """A row per genre with its names in order; only the names of one genre stand in one row."""
+    names = _part_genres(spark, sf).groupBy("ord", "genre").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    return names.select("ord", "genre", F.array_join("names", "|").alias("subgenres"))
 
 
 def alias_to_genre(spark, sf):
-    return G.alias_to_genre(_part_genres(spark, sf))
+    return G.alias_of_names(_part_genres(spark, sf))
 
 
 # -- text ---------------------------------------------------------------------------------

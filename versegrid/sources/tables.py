@@ -71,6 +71,16 @@ def read_genres(spark: SparkSession, path: str) -> DataFrame:
     return entries.select("ord", "g.genre", "g.subgenres")
 
 
+def write_genre_names(names: DataFrame, path: str) -> None:
+    """Store ``(ord, genre, name)`` as JSON lines, one per name, written by all tasks."""
+    names.select("ord", "genre", "name").write.json(path)
+
+
+def read_genre_names(spark: SparkSession, path: str) -> DataFrame:
+    """``(ord, genre, name)`` from JSON lines, read in parallel; the form for lists of any size."""
+    return spark.read.schema("ord int, genre string, name string").json(path)
+
+
 def write_dataset(df: DataFrame, path: str) -> None:
     """Dataset with a ``part`` column: one folder per part, read back with pruning."""
     df.write.partitionBy("part").parquet(path)
