@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from versegrid.llm.common import reduced, without
 from versegrid.operators.cluster import connected_components
-from versegrid.session import stage
+from versegrid.session import drop_staged, stage
 
 SHINGLE = 5
 THRESHOLD = 80
@@ -51,8 +51,8 @@ SLACK = 20
 #: Buckets up to this many members list their open pairs at once.
 SMALL = 32
 SPLITS = 2
-#: Words whose hash a worker keeps before it starts anew.
-KEPT_WORDS = 400_000
+#: Words whose hash a worker keeps before it starts anew, and the length up to which one is kept: some 16 MB.
+KEPT_WORDS, KEPT_LENGTH = 100_000, 64
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 _known: dict[bytes, int] = {}
@@ -68,10 +68,8 @@ def shingle_hashes(text: str | None, n: int) -> np.ndarray:
     except KeyError:
         if len(_known) > KEPT_WORDS:
             _known.clear()
-        for w in words:
-            if w not in _known:
-                _known[w] = xxhash.xxh64_intdigest(w)
-        ids = [_known[w] for w in words]
+        _known.update({w: xxhash.xxh64_intdigest(w) for w in set(words).difference(_known) if len(w) <= KEPT_LENGTH})
+        ids = [_known[w] if w in _known else xxhash.xxh64_intdigest(w) for w in words]
     ids = np.array(ids, np.uint64)
     n = min(n, len(ids))
     value = np.full(len(ids) - n + 1, n, np.uint64)
@@ -117,8 +115,8 @@ def signatures(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             sizes, classes, bands, planes = [], [], [], []
-            for t in batch.column(1).to_pylist():
-                hashes = shingle_hashes(t, shingle)
+            for t in batch.column(1):
+                hashes = shingle_hashes(t.as_py(), shingle)
                 sizes.append(len(hashes))
                 if not len(hashes):
                     classes.append(None), bands.append(None), planes.append(None)
@@ -135,6 +133,7 @@ def signatures(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()),
                                    pa.array(bands, pa.list_(pa.int64())), pa.array(planes, pa.list_(pa.int64()))],
                                   names=["key", "n_shingles", "class", "bands", "planes"])
+        _known.clear()  # an idle worker keeps nothing
 
     kind = docs.select(key).schema[0].dataType.simpleString()
     return docs.select(key, text).mapInArrow(
@@ -163,28 +162,30 @@ def _confirmed(likely: DataFrame, texts: DataFrame, shingle: int, threshold: int
         texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a").select("a", "text_a", "b", "text_b")
 
     def check(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[bytes | None, np.ndarray] = (None, np.empty(0, np.uint64))
+        last: tuple[int | None, np.ndarray] = (None, np.empty(0, np.uint64))
         for batch in stream:
             linked = []
-            for a, text_a, b, text_b in zip(*[c.to_pylist() for c in batch.columns]):
-                if a != last[0]:
-                    last = (a, shingle_hashes(text_a, shingle))
-                other = shingle_hashes(text_b, shingle)
+            for a, text_a, b, text_b in zip(*batch.columns):
+                if a.as_py() != last[0]:
+                    last = (a.as_py(), shingle_hashes(text_a.as_py(), shingle))
+                other = shingle_hashes(text_b.as_py(), shingle)
                 common = len(np.intersect1d(last[1], other, assume_unique=True))
                 linked.append(100 * common >= threshold * (len(last[1]) + len(other) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
+        _known.clear()
 
-    return both.mapInArrow(check, "a binary, b binary")
+    return both.mapInArrow(check, "a long, b long")
 
 
 def _of_class(rows: DataFrame, shingle: int) -> DataFrame:
-    """The rows ``(class, text)`` whose text is of that class; others have the key of one that is."""
+    """``(class, text)`` of the rows ``(class, digest, text)`` whose text has that digest; others have the key of one that has."""
     def keep(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            own = [xxhash.xxh3_128_digest(shingle_hashes(t, shingle).tobytes()) for t in batch.column(1).to_pylist()]
-            yield batch.filter(pa.array([a == b for a, b in zip(own, batch.column(0).to_pylist())], pa.bool_()))
+            own = [xxhash.xxh3_128_digest(shingle_hashes(t.as_py(), shingle).tobytes()) == d.as_py() for d, t in zip(batch.column(1), batch.column(2))]
+            yield batch.select(["class", "text"]).filter(pa.array(own, pa.bool_()))
+        _known.clear()
 
-    return rows.mapInArrow(keep, rows.schema)
+    return rows.mapInArrow(keep, "class long, text string")
 
 
 def _labelled(df: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
@@ -197,8 +198,9 @@ def _components(links: DataFrame) -> DataFrame:
     return connected_components(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), links)
 
 
-def _halves_swapped(digest: Column) -> Column:
-    return F.concat(F.substring(digest, 9, 8), F.substring(digest, 1, 8))
+def _halves_swapped(number: Column) -> Column:
+    """The 32-bit halves of a class number exchanged: a second order, and its own inverse."""
+    return F.shiftleft(number, 32).bitwiseOR(F.shiftrightunsigned(number, 32))
 
 
 def _shared_buckets(level: DataFrame) -> DataFrame:
@@ -220,54 +222,84 @@ def _star_pairs(level: DataFrame) -> DataFrame:
 
 
 def _open_pairs(listed: DataFrame, one: DataFrame, threshold: int) -> DataFrame:
-    """Likely pairs across components of the buckets in ``listed``; the join compares signatures and keeps what is likely."""
-    rows = listed.select("bucket", "class", "root").join(one.select("class", "planes"), "class")
-    sides = [rows.select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in ("class", "root", "planes")]) for side in "ab"]
-    met = sides[0].join(sides[1], (sides[0]["bucket"] == sides[1]["bucket"]) & (F.col("root_a") < F.col("root_b")) & _likely(threshold))
+    """Likely pairs across components of the buckets in ``listed``; the join compares sizes and signatures and keeps what is likely."""
+    rows = listed.select("bucket", "class", "root").join(one.select("class", "n_shingles", "planes"), "class")
+    sides = [rows.select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in ("class", "root", "n_shingles", "planes")]) for side in "ab"]
+    met = sides[0].join(sides[1], (sides[0]["bucket"] == sides[1]["bucket"]) & (F.col("root_a") < F.col("root_b"))
+                        & _sizes_allow(threshold) & _likely(threshold))
     return met.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
 
 
-def class_links(sig: DataFrame, docs: DataFrame, key: str, text: str, shingle: int, threshold: int) -> DataFrame:
-    """Components of classes, ``(node, root)`` for every class with a link."""
-    sig = sig.filter("class IS NOT NULL AND key IS NOT NULL")
-    one = stage(sig.select("class", "key", "bands", "planes").dropDuplicates(["class"]), "near-classes")
+def _sizes_allow(threshold: int) -> Column:
+    """The smaller set is large enough to make up the threshold of the larger one."""
+    return 100 * F.least("n_shingles_a", "n_shingles_b") >= threshold * F.greatest("n_shingles_a", "n_shingles_b")
+
+
+def numbered_classes(sig: DataFrame) -> DataFrame:
+    """The stored ``(class, digest, key, n_shingles, bands, planes)``: each distinct set once, under an 8-byte number."""
+    distinct = sig.filter("digest IS NOT NULL AND key IS NOT NULL").select("digest", "key", "n_shingles", "bands", "planes").dropDuplicates(["digest"])
+    return stage(distinct.withColumn("class", F.monotonically_increasing_id()), "near-classes")
+
+
+def class_links(classed: DataFrame, one: DataFrame, docs: DataFrame, key: str, text: str, shingle: int, threshold: int) -> DataFrame:
+    """Components of classes, ``(node, root)`` for every class with a link; ``classed`` is ``(key, class)``."""
+    classed = classed.filter("class IS NOT NULL AND key IS NOT NULL")
     # one key with several texts links their classes
-    spread = sig.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("z")).filter("a <> z").select("key", "a")
-    links = stage(sig.join(spread, "key").filter("class <> a").select("a", F.col("class").alias("b")).distinct(), "near-links")
-    level = stage(_shared_buckets(one.select("class", F.posexplode("bands").alias("band", "bucket"))), "near-buckets")
-    wanted = stage(level.select("class").distinct().join(one.select("class", "key"), "class"), "near-wanted")
+    spread = classed.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("z")).filter("a <> z").select("key", "a")
+    links = stage(classed.join(spread, "key").filter("class <> a").select("a", F.col("class").alias("b")).distinct(), "near-links")
+    level = stage(_shared_buckets(one.select("class", F.posexplode("bands").alias("band", "bucket")).select(
+        "class", F.col("band").cast("byte").alias("band"), "bucket")), "near-buckets")
+    wanted = stage(level.select("class").distinct().join(one.select("class", "digest", "key"), "class"), "near-wanted")
     found = reduced(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", wanted, "key").join(wanted, "key")
-    texts = stage(_of_class(found.select("class", "text"), shingle).dropDuplicates(["class"]), "near-texts")
-    planes = one.select("class", "planes")
+    texts = stage(_of_class(found.select("class", "digest", "text"), shingle).dropDuplicates(["class"]), "near-texts")
+    drop_staged(wanted)
+    signed = one.select("class", "n_shingles", "planes")
     for split in range(SPLITS + 1):
-        sides = [planes.select(F.col("class").alias(c), F.col("planes").alias(f"planes_{c}")) for c in "ab"]
-        stars = stage(_star_pairs(level).join(sides[0], "a").join(sides[1], "b").filter(_likely(threshold)).select("a", "b"), "near-pairs")
-        links = stage(links.unionByName(_confirmed(stars, texts, shingle, threshold)), "near-links")
-        labels = _components(links)
+        sides = [signed.select(F.col("class").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n_shingles", "planes")]) for c in "ab"]
+        stars = stage(_star_pairs(level).join(sides[0], "a").join(sides[1], "b").filter(
+            _sizes_allow(threshold) & _likely(threshold)).select("a", "b"), "near-pairs")
+        links = _with_links(links, _confirmed(stars, texts, shingle, threshold))
+        labels = stage(_components(links), "near-labels")
         rooted = _labelled(level.select("bucket", "band", "class"), labels, "class", "root")
         state = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"),
                                              F.count("*").alias("members")).filter("low <> high")
         opened = stage(rooted.join(state.select("bucket", "members"), "bucket"), "near-open")
+        drop_staged(level)
         listed = opened if split == SPLITS else opened.filter(F.col("members") <= SMALL)
         pairs = stage(_open_pairs(listed, one, threshold).join(stars, ["a", "b"], "left_anti"), "near-pairs")
         if not pairs.isEmpty():
-            links = stage(links.unionByName(_confirmed(pairs, texts, shingle, threshold)), "near-links")
-            labels = _components(links)
+            links = _with_links(links, _confirmed(pairs, texts, shingle, threshold))
+            drop_staged(labels)
+            labels = stage(_components(links), "near-labels")
+        drop_staged(stars), drop_staged(pairs)
         large = opened.filter(F.col("members") > SMALL)
         if split == SPLITS or large.isEmpty():
+            drop_staged(opened), drop_staged(texts), drop_staged(links)
             return labels
         after = large.select("bucket", "band", "class").join(one.select("class", "bands"), "class").select(
             "class", "bucket", "band", F.posexplode("bands").alias("next", "value")).filter("next > band")
         level = stage(_shared_buckets(after.select(
-            "class", F.col("next").alias("band"), F.xxhash64("bucket", "value").alias("bucket"))), "near-buckets")
+            "class", F.col("next").cast("byte").alias("band"), F.xxhash64("bucket", "value").alias("bucket"))), "near-buckets")
+        drop_staged(opened), drop_staged(labels)
+
+
+def _with_links(links: DataFrame, more: DataFrame) -> DataFrame:
+    """The stored links of both tables; the first, a stored one, goes."""
+    both = stage(links.unionByName(more), "near-links")
+    drop_staged(links)
+    return both
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
                     threshold: int = THRESHOLD) -> DataFrame:
     """``(key, n_shingles, component, kept)`` per document; ``component`` is the smallest key that links reach."""
-    sig = stage(signatures(docs, key, text, shingle), "near-signatures")
-    labels = class_links(sig, docs, key, text, shingle, threshold)
-    classed = sig.select("key", "n_shingles", "class")
+    sig = stage(signatures(docs, key, text, shingle).withColumnRenamed("class", "digest"), "near-signatures")
+    one = numbered_classes(sig)
+    classed = stage(sig.select("key", "n_shingles", "digest").join(
+        one.select("digest", "class"), "digest", "left").select("key", "n_shingles", "class"), "near-classed")
+    drop_staged(sig)
+    labels = class_links(classed.select("key", "class"), one, docs, key, text, shingle, threshold)
+    drop_staged(one)
     rooted = _labelled(classed, labels, "class", "root")
     smallest = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("key").alias("component"))
     alike = F.when(F.col("key").isNotNull(), F.coalesce("component", "key"))
