@@ -1,3 +1,4 @@
+import pytest
 import hashlib
 import re
 
@@ -40,3 +41,27 @@ def test_assignments_and_constants():
 def test_empty(no_docs, clashing):
     assert S.secret_spans(no_docs).count() == 0
     assert S.secret_spans(clashing).count() == clashing.count()
+
+
+@pytest.mark.parametrize("text", [
+    'db_password: str = "Xk29!fQz81Lm"', 'const apiToken: string = "Xk29!fQz81Lm";', "secret_key = `Xk29!fQz81Lm`",
+    'token = """Xk29!fQz81Lm"""', "passwd: Optional[str] = 'Xk29!fQz81Lm'", "x" * 300 + '_password = "Xk29!fQz81Lm"',
+    'password' + " " * 200 + '= "Xk29!fQz81Lm"', 'k = "Xk29!f" + "Qz81Lm"\npassword = k', "a=1&password=Xk29!fQz81Lm&b=2"])
+def test_declared_quoted_and_distant_literals(text):
+    spans = [text[start:end] for start, kind, end in S.scan(text)[1] if kind == "literal"]
+    assert spans and all("Xk29!f" in s for s in spans)
+
+
+@pytest.mark.parametrize("text", [
+    'a = "Xk29!fQz"\n' + "a = a + a\n" * 3000 + "password = a", "&".join(f"k{i}=v{i}" for i in range(150_000)),
+    "a:" * 500_000, "=" * 500_000, "a='" * 300_000, 'a="""' * 200_001, "k=`" * 200_001, "p: q" * 200_000])
+def test_long_texts_take_linear_time(text):
+    import time
+    import tracemalloc
+
+    tracemalloc.start()
+    began = time.process_time()
+    S.scan(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert time.process_time() - began < 60 and peak < 300 << 20  # the machine of the tests varies several-fold

@@ -2,10 +2,16 @@
 
 Base spans come from three patterns. On top, each ``name = literal`` of the text is
 lexed into a pair: the operator (``=``, ``:``, ``:=``, ``=>``) is found first, then the
-name to its left and the literal to its right (quoted, joined by ``+``, a known name, or
-bare). Names bound to literals are propagated, so ``k = "…"; password = k`` scores the
-literal that ``k`` holds. A pair is scored by what its name says and what its literal
-looks like; literals at ``THRESHOLD`` or above add a span of kind ``literal``.
+whole name to its left, whatever its length, and the literal to its right: quoted (also
+triple or by backticks), joined by ``+``, a known name, or bare up to the next blank, ``&`` or
+operator. A type between name and ``=`` is passed over (``token: str = "…"``). Names bound to
+literals are propagated, so ``k = "…"; password = k`` scores the literal that ``k`` holds. A
+pair is scored by what its name says and what its literal looks like; literals at
+``THRESHOLD`` or above add a span of kind ``literal``.
+
+What is kept of a literal is its span and the shares of its characters, which cover all of
+it and add up when literals are joined. So joining a name with itself again and again
+costs no more than any other line, and time and memory are linear in the text.
 
 Every text is scanned whole, one row at a time inside Arrow batches; there is no
 shuffle, and a lost task is simply run again.
@@ -21,6 +27,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,9 +40,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 
 OPERATOR = re.compile(r":=|=>|[:=]")
-NAME_LEFT = re.compile(r"""(?:["']?([A-Za-z_][\w.-]{0,79})["']?\]?[ \t]*)\Z""", re.A)
-STRING = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'""")
-BARE = re.compile(r"[^\s\"'`,;(){}\[\]<>]+")
+NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
+#: A type between a name with a colon and the sign of equality.
+TYPE = re.compile(r"[ \t]*[A-Za-z_][\w.]*(?:[ \t]*[\[<][\w.,| \t]*[\]>])?[ \t]*(?==(?![=>]))", re.A)
+STRING = re.compile(
+    r'''"""(?P<a>.*?)"""|\'\'\'(?P<b>.*?)\'\'\'|"(?P<c>(?:[^"\\\n]|\\.)*)"|\'(?P<d>(?:[^\'\\\n]|\\.)*)\'|`(?P<e>(?:[^`\\]|\\.)*)`''', re.S)
+BARE = re.compile(r"[^\s\"'`,;&(){}\[\]<>=:]+=*")
 PLUS = re.compile(r"[ \t]*\+[ \t]*")
 NAME = re.compile(r"[A-Za-z_][\w.]*", re.A)
 #: Parts of names that hold secrets, and how strongly they say so.
@@ -61,56 +71,105 @@ def name_score(name: str) -> int:
     return max([SENSITIVE.get(p, 0) for p in joined.union(parts)], default=0)
 
 
-def literal_score(value: str) -> int:
+class Literal(NamedTuple):
+    """Span of a literal, its length, the share of each of its characters, and whether it only stands for a value."""
+
+    start: int
+    end: int
+    length: float
+    shares: dict[str, float]
+    placeholder: bool
+
+    @classmethod
+    def of(cls, text: str, start: int, end: int) -> Literal:
+        value, n = text[start:end], end - start
+        return cls(start, end, n, {c: k / n for c, k in Counter(value).items()},
+                   bool(re.fullmatch(r"\$\{.*|%\w+%|<.*>|\*+|x+", value, re.I | re.S)))
+
+    def joined(self, other: Literal, end: int) -> Literal:
+        length = self.length + other.length
+        if not length:
+            return self._replace(end=end)
+        shares = {c: p * self.length / length for c, p in self.shares.items()}
+        for c, p in other.shares.items():
+            shares[c] = shares.get(c, 0.0) + p * other.length / length
+        # beyond any real length only the shares matter
+        return Literal(self.start, end, min(length, 1e18), shares, self.placeholder and other.placeholder)
+
+
+def literal_score(literal: Literal) -> int:
     """How much a literal looks like a secret: long enough, no spaces, mixed classes, high entropy."""
-    if len(value) < 8 or re.search(r"\s", value) or re.fullmatch(r"\$\{.*|%\w+%|<.*>|\*+|x+", value, re.I):
+    if literal.length < 8 or literal.placeholder or any(c.isspace() for c in literal.shares):
         return 0
-    classes = sum(bool(re.search(p, value)) for p in (r"[a-z]", r"[A-Z]", r"\d", r"[^\w]"))
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
-    return 1 + (classes >= 2) + (entropy >= 3) + (bool(re.search(r"\d", value)) and entropy >= 2.5)
+    classes = len({"a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if c.isdecimal() else "_" if not re.match(r"\w", c) else ""
+                   for c in literal.shares} - {""})
+    entropy = -sum(p * math.log2(p) for p in literal.shares.values() if p > 0)
+    digits = any(c.isdecimal() for c in literal.shares)
+    return 1 + (classes >= 2) + (entropy >= 3) + (digits and entropy >= 2.5)
 
 
-def _literal_at(text: str, at: int, known: dict[str, tuple[str, int, int]]) -> tuple[str, int, int] | None:
-    """Value and span of the literal that starts at ``at``; joined strings give one value."""
+def _literal_at(text: str, at: int, known: dict[str, Literal]) -> Literal | None:
+    """The literal that starts at ``at`` or behind blanks; joined strings give one."""
     while at < len(text) and text[at] in " \t":
         at += 1
-    value, start, end = "", at, at
+    found: Literal | None = None
     while True:
         if m := STRING.match(text, at):
-            value, start, end = value + (m[1] if m[1] is not None else m[2]), (m.start() + 1 if end == start == at else start), m.end() - 1
+            part, end = Literal.of(text, *m.span(m.lastgroup)), m.end(m.lastgroup)
         elif (m := NAME.match(text, at)) and m[0] in known:
-            bound = known[m[0]]
-            value += bound[0]
-            start, end = (bound[1], bound[2]) if end == start == at else (start, max(end, m.end()))
-        elif end == start == at and (m := BARE.match(text, at)):
-            return m[0].rstrip(".:"), m.start(), m.start() + len(m[0].rstrip(".:"))
+            part, end = known[m[0]], m.end()
+        elif found is None and (m := BARE.match(text, at)):
+            return Literal.of(text, m.start(), m.start() + len(m[0].rstrip(".")))
         else:
-            return (value, start, end) if value else None
+            return found if found and found.length else None
+        # a single known name keeps the span of the literal it holds
+        found = part if found is None else found.joined(part, max(found.end, end))
         step = PLUS.match(text, m.end())
         if not step:
-            return value, start, end
+            return found if found.length else None
         at = step.end()
 
 
-def assignments(text: str) -> Iterator[tuple[str, str, int, int]]:
-    """``(name, value, start, end)`` of each name-literal pair; known names stand for the literal they hold."""
-    known: dict[str, tuple[str, int, int]] = {}
+def _name_before(text: str, end: int) -> str:
+    """The whole name that ends at ``end`` but for blanks, a quote and a bracket."""
+    while end and text[end - 1] in " \t":
+        end -= 1
+    if end and text[end - 1] == "]":
+        end -= 1
+    if end and text[end - 1] in "\"'":
+        end -= 1
+    start = end
+    while start and text[start - 1] in NAME_CHARS:
+        start -= 1
+    while start < end and not (text[start].isalpha() or text[start] == "_"):
+        start += 1
+    return text[start:end]
+
+
+def assignments(text: str) -> Iterator[tuple[str, Literal]]:
+    """``(name, literal)`` of each pair; known names stand for the literal they hold."""
+    known: dict[str, Literal] = {}
+    typed: tuple[int, str] = (-1, "")
     for operator in OPERATOR.finditer(text):
-        name = NAME_LEFT.search(text, max(0, operator.start() - 96), operator.start())
-        if not name or text.startswith("=", operator.end()):
+        if text.startswith("=", operator.end()):
+            continue
+        name = typed[1] if operator.start() == typed[0] else _name_before(text, operator.start())
+        if not name:
+            continue
+        if operator[0] == ":" and (kind := TYPE.match(text, operator.end())):
+            typed = (kind.end(), name)
             continue
-        found = _literal_at(text, operator.end(), known)
-        if found:
-            known[name[1]] = found
-            yield name[1], *found
+        if found := _literal_at(text, operator.end(), known):
+            known[name] = found
+            yield name, found
 
 
 def scan(text: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
     """Base spans, and all spans; each in order of start, then kind, then end."""
     order = lambda s: (s[0], KINDS.index(s[1]), s[2])
     base = sorted(base_spans(text), key=order)
-    extra = {(start, "literal", end) for name, value, start, end in assignments(text)
-             if (n := name_score(name)) and (v := literal_score(value)) and n + v >= THRESHOLD}
+    extra = {(literal.start, "literal", literal.end) for name, literal in assignments(text)
+             if (n := name_score(name)) and (v := literal_score(literal)) and n + v >= THRESHOLD}
     return base, sorted([*base, *extra], key=order)
 
 
@@ -122,7 +181,7 @@ def secret_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans)``; spans count code points, ends exclusive."""
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            rows = [scan(t or "") for t in batch.column(1).to_pylist()]
+            rows = [scan(t.as_py() or "") for t in batch.column(1)]
             counts = [Counter(kind for _, kind, _ in base) for base, _ in rows]
             yield pa.record_batch([
                 batch.column(0), *[pa.array([c[k] for c in counts], pa.int64()) for k in KINDS[:3]],
