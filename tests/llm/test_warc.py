@@ -62,3 +62,32 @@ def test_empty_and_extra_columns(spark, tmp_path):
         {c: F.lit(c) for c in ("id", "digest", "copy", "first", "n", "value")})
     W.write_archives(pages, f"file://{tmp_path}/one")
     assert [r.page_id for r in W.page_records(W.read_archives(spark, f"file://{tmp_path}/one")).collect()] == [1]
+
+
+@pytest.mark.parametrize("place", [0, 2, 4])
+@pytest.mark.parametrize("block", [1000, 1 << 17, W.BLOCK])
+def test_long_headers(spark, tmp_path, place, block):
+    """An address of 200 KB as the first, a middle and the last record of one file."""
+    rows = [(i, "http://x/" + ("y" * 200_000 if i == place else str(i)), f"<p>{i}</p>") for i in range(5)]
+    W.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}/a")
+    got = W.read_archives(spark, f"file://{tmp_path}/a", block=block).collect()
+    assert sorted((r.target, bytes(r.payload).decode()) for r in got) == sorted((u, h) for _, u, h in rows)
+
+
+def test_damaged_files_raise(spark, tmp_path):
+    import glob
+
+    rows = [(i, f"http://x/{i}", "<p>text</p>" * (i + 1)) for i in range(6)]
+    for name, change in (("cut", lambda d: d[:-20]), ("headless", lambda d: b"junk" + d)):
+        folder = f"{tmp_path}/{name}"
+        W.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), f"file://{folder}")
+        [path] = [f for f in glob.glob(f"{folder}/part-*")]
+        data = open(path, "rb").read()
+        [crc] = glob.glob(f"{folder}/.part-*.crc") or [None]
+        with open(path, "wb") as out:
+            out.write(change(data))
+        if crc:
+            open(crc, "wb").close()
+        for block in (300, W.BLOCK):
+            with pytest.raises(Exception, match="no whole record|Checksum"):
+                W.read_archives(spark, f"file://{folder}", block=block).collect()

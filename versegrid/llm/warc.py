@@ -40,7 +40,7 @@ from versegrid.session import drop_staged, stage
 
 MAGIC = b"WARC/1.1\r\n"
 BLOCK = 16 << 20
-#: Longest record header that is followed.
+#: Bytes behind a block that are read along for the header of its last record; longer headers are read on to their end.
 HEADER = 1 << 16
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 #: Base 32 digits in the order of RFC 4648, beside those of number conversion.
@@ -93,11 +93,20 @@ def _header_end(data: bytes, at: int) -> tuple[int, int] | None:
     """Length of the header at ``at`` and of its content, or None if there is no well-formed one."""
     if not data.startswith(MAGIC, at):
         return None
-    end = data.find(b"\r\n\r\n", at, at + HEADER)
+    end = data.find(b"\r\n\r\n", at)
     length = LENGTH.search(data, at, end + 2) if end > 0 else None
     return (end + 4 - at, int(length[1])) if length else None
 
 
+def _read_on(source, data: bytes, start: int, at: int, size: int) -> bytes:
+    """``data``, which begins at ``start`` of the file, lengthened until the header at ``at`` ends in it or the file does."""
+    step = HEADER
+    while data.find(b"\r\n\r\n", at) < 0 and start + len(data) < size:
+        data += source.read_at(min(step, size - start - len(data)), start + len(data))
+        step *= 2
+    return data
+
+
 def _open(path: str):
     store, inner = fs.FileSystem.from_uri(path)
     return store.open_input_file(inner)
@@ -110,6 +119,8 @@ def candidates(blocks: DataFrame) -> DataFrame:
             for path, start, stop, size in zip(*[c.to_pylist() for c in batch.columns]):
                 with _open(path) as source:
                     data = source.read_at(min(stop + HEADER, size) - start, start)
+                    if (last := data.rfind(MAGIC, 0, stop - start + len(MAGIC) - 1)) >= 0:
+                        data = _read_on(source, data, start, last, size)
                 successor, at = {}, data.find(MAGIC)
                 while 0 <= at < stop - start:
                     if found := _header_end(data, at):
@@ -162,8 +173,11 @@ def read_archives(spark: SparkSession, folder: str, block: int = BLOCK) -> DataF
     n = max(1, blocks.count())
     blocks = blocks.repartition(n, F.xxhash64("path", "start"))
     entered = entries(blocks)
-    inside = blocks.join(entered, (blocks["path"] == entered["path"]) & (F.floor(F.col("offset") / block) == F.floor(F.col("start") / block))) \
-        .select(blocks["path"], "offset", "stop", "size").repartition(n, F.xxhash64("path", "offset"))
+    # the first record of every file has to be entered, even if nothing like a record stands there
+    first = blocks.filter("start = 0").select("path", F.col("start").alias("offset"))
+    entered = first.unionByName(entered).distinct().select(F.col("path").alias("of"), "offset")
+    inside = blocks.join(entered, (F.col("path") == F.col("of")) & (F.floor(F.col("offset") / block) == F.floor(F.col("start") / block))) \
+        .select("path", "offset", "stop", "size").repartition(n, F.xxhash64("path", "offset"))
 
     def walk(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
@@ -171,9 +185,10 @@ def read_archives(spark: SparkSession, folder: str, block: int = BLOCK) -> DataF
                 with _open(path) as source:
                     start, data, rows, held = at, source.read_at(min(stop + HEADER, size) - at, at), [], 0
                     while at < stop:
+                        data = _read_on(source, data, start, at - start, size)
                         found = _header_end(data, at - start)
-                        if not found:
-                            raise ValueError(f"{path}: no record at {at}")
+                        if not found or at + sum(found) + 4 > size:
+                            raise ValueError(f"{path}: no whole record at {at}")
                         body, length = at - start + found[0], found[1]
                         content = data[body:body + length] if body + length <= len(data) else source.read_at(length, start + body)
                         rows.append((path, at, *_fields(data[at - start:body]), content.partition(b"\r\n\r\n")[2]))
