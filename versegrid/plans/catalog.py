@@ -19,6 +19,7 @@ from versegrid.functions.urls import track_urls
 from versegrid.operators import cluster as C
 from versegrid.operators import dense as D
 from versegrid.operators import genres as G
+from versegrid.operators import hinge as H
 from versegrid.operators import learners as L
 from versegrid.operators import metrics as M
 from versegrid.operators import neighbours as N
@@ -42,6 +43,7 @@ EVENT_GENRES = [(0, "browse", ["view", "click"]), (1, "commerce", ["purchase", "
 WEIGHT_DIGITS = 6
 DENSE_EPS = 1.2
 COST = 1.0  # of feature selection, one for all sizes of these tables
+OPTIMAL_WITHIN = 0.01
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -514,6 +516,16 @@ def feature_selection(spark, sf):
     return L.selected_terms(vectors.filter("part = 'trainset'"), index, COST)
 
 
+def svm_optimality(spark, sf):
+    """Per language whether the cost of its machine is within the bound of the least possible one, by the duality gap."""
+    docs = _documents(spark, sf).select("doc_id", "text", F.col("lang").alias("label"))
+    long, _, parts = jobs.weighted_corpus(docs, "doc_id", split=True)
+    train = parts.filter("part = 'trainset'").select("doc_id", "label")
+    rows = stage(long.join(train.select("doc_id"), "doc_id", "left_semi"), "train-rows")
+    gap = H.duality_gap(rows, train, H.squared_hinge(rows, train, "doc_id"), "doc_id")
+    return gap.select("class", (F.col("primal") - F.col("dual") <= OPTIMAL_WITHIN * F.col("primal")).alias("ok"))
+
+
 def classify_all(spark, sf):
     vectors, long, index, docs = jobs.vectorized(_labelled_texts(spark, sf), "doc_id", split=True)
     path = staging_path(spark, "reports")
@@ -601,6 +613,7 @@ QUERIES = {
     "linear_svm": linear_svm,
     "mlp": mlp,
     "feature_selection": feature_selection,
+    "svm_optimality": svm_optimality,
     "classify_all": classify_all,
     "accuracy_f1": accuracy_f1,
     "classification_report": classification_report,

@@ -194,6 +194,9 @@ scored AS (SELECT test.doc_id, truth, class_n.label, ln(c / (SELECT sum(c) FROM
 predicted AS (SELECT doc_id, truth AS label, label AS prediction FROM
   (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) AS r FROM scored) WHERE r = 1)
 """
+# every machine of a training language is optimal
+_LANGUAGES_OK = f"""SELECT DISTINCT lang AS class, true AS ok FROM documents JOIN ({_split("documents", "doc_id")}) USING (doc_id)
+WHERE part = 'trainset' AND lang IS NOT NULL"""
 _REPORT = """report AS (SELECT class, coalesce(tp / nullif(predicted, 0), 0) AS precision, coalesce(tp / nullif(support, 0), 0) AS recall,
   coalesce(2 * tp / nullif(predicted + support, 0), 0) AS f1, CAST(support AS BIGINT) AS support FROM
   (SELECT class, count(*) FILTER (label = class AND prediction = class) AS tp, count(*) FILTER (label = class) AS support,
@@ -373,6 +376,7 @@ ORACLE = {
     "contingency": f"WITH {_CORPUS} SELECT tag, lang, count(*) AS n FROM corpus JOIN documents ON doc_id = trackid GROUP BY tag, lang",
     "homogeneity_completeness": _HOMOGENEITY,
     "naive_bayes": f"{_BAYES} SELECT * FROM predicted",
+    "svm_optimality": _LANGUAGES_OK,
     "accuracy_f1": f"{_BAYES}, {_REPORT} SELECT round((SELECT avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) FROM predicted), 6) AS accuracy, "
                    "round(sum(f1 * support) / sum(support), 6) AS weighted_f1 FROM report",
     "classification_report": f"{_BAYES}, {_REPORT} SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM report",
