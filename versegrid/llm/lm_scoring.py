@@ -209,7 +209,10 @@ def _answers(asked: DataFrame) -> DataFrame:
 
 
 def _with_counts(joined: DataFrame, kind: str, buckets: int) -> DataFrame:
-    """Per block its documents, the count of the start mark, and per token the counts of the word and of its pair with the one before."""
+    """Per block its documents, the count of the start mark, and per token the counts of the word and of its pair with the one before.
+
+    ``distinct`` adds up to the number of distinct training words over all blocks.
+    """
     def put(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             for i in range(batch.num_rows):
@@ -226,11 +229,12 @@ def _with_counts(joined: DataFrame, kind: str, buckets: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [row.column("keys"), row.column("held_out"), row.column("lengths"),
                      pa.array([start], pa.int64()), pa.array([_pack_counts(totals[0][block.word])], pa.binary()),
-                     pa.array([_pack_counts(totals[1][block.pair])], pa.binary())],
-                    names=["keys", "held_out", "lengths", "start", "word", "pair"])
+                     pa.array([_pack_counts(totals[1][block.pair])], pa.binary()),
+                     pa.array([sum(a["distinct"] for a in values["answers"])], pa.int64())],
+                    names=["keys", "held_out", "lengths", "start", "word", "pair", "distinct"])
 
     return joined.mapInArrow(put, f"keys array<{kind}>, held_out array<boolean>, lengths array<int>, "
-                                  "start long, word binary, pair binary")
+                                  "start long, word binary, pair binary, distinct long")
 
 
 def _counted(row: dict) -> tuple[np.ndarray, ...]:
@@ -264,7 +268,7 @@ def held_out_counts(counted: DataFrame, n: int) -> DataFrame:
                 yield pa.record_batch([*[pa.array(c, pa.int64()) for c in cells], pa.array(number, pa.int64())],
                                       names=["class", "q2", "q1", "n"])
 
-    return counted.drop("keys").mapInArrow(count, "class long, q2 long, q1 long, n long").groupBy("class", "q2", "q1").agg(F.sum("n").alias("n"))
+    return counted.drop("keys", "distinct").mapInArrow(count, "class long, q2 long, q1 long, n long").groupBy("class", "q2", "q1").agg(F.sum("n").alias("n"))
 
 
 def learned_weights(cells: list, vocabulary: int) -> np.ndarray:
@@ -310,7 +314,7 @@ def scored(counted: DataFrame, kind: str, n: int, vocabulary: int, weights: np.n
                     pa.array(np.add.reduceat(np.log10(p), at), pa.float64())],
                     names=["key", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    return counted.mapInArrow(score, f"key {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return counted.drop("distinct").mapInArrow(score, f"key {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
 def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text",
@@ -323,11 +327,11 @@ def score_documents(docs: DataFrame, held_out: Column, key: str = "doc_id", text
     sums = stored.agg(F.sum("n_keys").alias("keys"), F.sum(training).alias("n")).first()
     n = sums["n"] or 0
     buckets = max(ceil((sums["keys"] or 0) / BUCKET), spark.sparkContext.defaultParallelism)
-    answers = stage(_answers(_asked_rows(stored, buckets)), "lm-answers")
-    vocabulary = answers.agg(F.sum("distinct")).first()[0] or 0
-    packs = answers.groupBy("block").agg(F.collect_list(F.struct("order", "bucket", "counts")).alias("answers"))
+    packs = _answers(_asked_rows(stored, buckets)).groupBy("block").agg(
+        F.collect_list(F.struct("order", "bucket", "counts", "distinct")).alias("answers"))
     counted = stage(_with_counts(stored.drop("n_keys").join(packs, "block"), kind, buckets), "lm-counted")
-    drop_staged(stored), drop_staged(answers)
+    drop_staged(stored)
+    vocabulary = counted.agg(F.sum("distinct")).first()[0] or 0
     # at most CLASSES x (20 / STEP) ^ 2 cells
     cells = held_out_counts(counted, n).select("class", "q2", "q1", "n").collect()
     weights = learned_weights(cells, vocabulary)
