@@ -48,6 +48,25 @@ def test_chain_of_near_copies_in_hot_buckets(spark, monkeypatch):
     assert got == brute(rows, 4)
 
 
+def test_large_groups_below_and_at_the_threshold(spark, monkeypatch):
+    """Many texts around one passage, at 0.75 of each other, some of them with near copies; also few words in many orders."""
+    monkeypatch.setattr(N, "SMALL", 3)
+    rng = random.Random(7)
+    passage = [f"p{i}" for i in range(90)]
+    rows = []
+    for i in range(120):
+        own = passage + [f"u{i}x{j}" for j in range(15)]
+        rows.append((i, " ".join(own)))
+        if i % 10 == 0:
+            rows.append((1000 + i, " ".join([*own[:-4], "v", "w"])))
+            rows.append((2000 + i, " ".join(["start", *own])))
+    for i in range(80):
+        rows.append((3000 + i, " ".join(rng.choice("abc") for _ in range(60))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.key, r.n_shingles, r.component) for r in N.near_duplicates(df, shingle=4).collect()}
+    assert got == brute(rows, 4)
+
+
 def test_one_key_with_two_texts_links_them(spark):
     a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
     df = spark.createDataFrame([(5, a), (5, b), (3, a), (7, b), (None, a), (None, None)], "doc_id long, text string")

@@ -14,10 +14,12 @@
    six times the error of 240 minima. Remaining pairs are confirmed on the full sets.
 4. Confirmed links join classes into components. A bucket whose members are all in one
    component has nothing left to say. In any other bucket the pairs across components
-   are still open: small ones compare the signatures of all of them, large ones are split
-   by the later bands (two texts at the threshold share some 16 bands, so they meet
-   again) and go through 3 again. After ``SPLITS`` splits what is left is compared pair by
-   pair, whatever its size. No pair is dropped for the size of its bucket.
+   are still open. Small ones compare the signatures of all of them. The classes of large
+   ones meet on their rarest shingles instead: of two sets at the threshold each has one of its
+   ``n - ceil(0.8 n) + 1`` first shingles among the other's, in any order that is the same for
+   all. Shingles that stand in one component only come first in that order, then rare
+   ones, so a class with too few shingles outside its component meets nobody, and texts around
+   one passage do not meet in it. That is exact: no pair is dropped for the size of its bucket.
 
 All tables hold ids and hashes; texts travel for unconfirmed pairs only.
 
@@ -36,6 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from versegrid.llm.common import reduced, without
 from versegrid.operators.cluster import connected_components
@@ -50,7 +53,6 @@ BITS = 2
 SLACK = 20
 #: Buckets up to this many members list their open pairs at once.
 SMALL = 32
-SPLITS = 2
 #: Words whose hash a worker keeps before it starts anew, and the length up to which one is kept: some 16 MB.
 KEPT_WORDS, KEPT_LENGTH = 100_000, 64
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -235,6 +237,52 @@ def _sizes_allow(threshold: int) -> Column:
     return 100 * F.least("n_shingles_a", "n_shingles_b") >= threshold * F.greatest("n_shingles_a", "n_shingles_b")
 
 
+def _shingle_rows(texts: DataFrame, shingle: int) -> DataFrame:
+    """``(class, root, n_shingles, hash)`` per distinct shingle of the rows ``(class, root, text)``."""
+    def explode(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            for number, root, text in zip(*batch.columns):
+                hashes = shingle_hashes(text.as_py(), shingle)
+                for i in range(0, len(hashes), 1 << 16):
+                    part = hashes[i:i + (1 << 16)]
+                    yield pa.record_batch([pa.array(np.full(len(part), n)) for n in (number.as_py(), root.as_py(), len(hashes))]
+                                          + [pa.array(part.view(np.int64))], names=["class", "root", "n_shingles", "hash"])
+        _known.clear()
+
+    return texts.select("class", "root", "text").mapInArrow(explode, "class long, root long, n_shingles long, hash long")
+
+
+def _first_shingles(rows: DataFrame, threshold: int) -> DataFrame:
+    """``(class, root, n_shingles, hash, place)``: the shingles of each class that a linked class of another component may meet first."""
+    among = rows.groupBy("hash").agg(F.count("*").alias("among"), F.min("root").alias("low"), F.max("root").alias("high"))
+    outside = rows.join(among.filter("low <> high").select("hash", "among"), "hash")
+    own = W.partitionBy("class")
+    placed = outside.withColumn("place", F.col("n_shingles") - F.count("*").over(own)
+                                + F.row_number().over(own.orderBy("among", "hash")))
+    needed = F.expr(f"({threshold} * n_shingles + 99) div 100")
+    return placed.filter(F.col("place") <= F.col("n_shingles") - needed + 1).select("class", "root", "n_shingles", "hash", "place")
+
+
+def _rare_pairs(opened: DataFrame, one: DataFrame, texts: DataFrame, shingle: int, threshold: int) -> DataFrame:
+    """Likely pairs across components of the classes in ``opened``, which meet on their rarest shingles.
+
+    The first shingle that two sets share leaves what stands behind it in both for the rest of what they share.
+    """
+    members = opened.groupBy("class").agg(F.min("root").alias("root"))
+    rows = stage(_shingle_rows(texts.join(members, "class"), shingle), "near-shingles")
+    first = stage(_first_shingles(rows, threshold).join(one.select("class", "planes"), "class"), "near-first")
+    drop_staged(rows)
+    sides = [first.select("hash", *[F.col(c).alias(f"{c}_{side}") for c in ("class", "root", "n_shingles", "planes", "place")])
+             for side in "ab"]
+    behind = F.least(F.col("n_shingles_a") - F.col("place_a"), F.col("n_shingles_b") - F.col("place_b"))
+    enough = (100 + threshold) * (behind + 1) >= threshold * (F.col("n_shingles_a") + F.col("n_shingles_b"))
+    met = sides[0].join(sides[1], (sides[0]["hash"] == sides[1]["hash"]) & (F.col("root_a") < F.col("root_b"))
+                        & _sizes_allow(threshold) & enough & _likely(threshold))
+    pairs = stage(met.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct(), "near-pairs")
+    drop_staged(first)
+    return pairs
+
+
 def numbered_classes(sig: DataFrame) -> DataFrame:
     """The stored ``(class, digest, key, n_shingles, bands, planes)``: each distinct set once, under an 8-byte number."""
     distinct = sig.filter("digest IS NOT NULL AND key IS NOT NULL").select("digest", "key", "n_shingles", "bands", "planes").dropDuplicates(["digest"])
@@ -247,40 +295,32 @@ def class_links(classed: DataFrame, one: DataFrame, docs: DataFrame, key: str, t
     # one key with several texts links their classes
     spread = classed.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("z")).filter("a <> z").select("key", "a")
     links = stage(classed.join(spread, "key").filter("class <> a").select("a", F.col("class").alias("b")).distinct(), "near-links")
-    level = stage(_shared_buckets(one.select("class", F.posexplode("bands").alias("band", "bucket")).select(
-        "class", F.col("band").cast("byte").alias("band"), "bucket")), "near-buckets")
+    level = stage(_shared_buckets(one.select("class", F.explode("bands").alias("bucket"))), "near-buckets")
     wanted = stage(level.select("class").distinct().join(one.select("class", "digest", "key"), "class"), "near-wanted")
     found = reduced(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", wanted, "key").join(wanted, "key")
     texts = stage(_of_class(found.select("class", "digest", "text"), shingle).dropDuplicates(["class"]), "near-texts")
     drop_staged(wanted)
     signed = one.select("class", "n_shingles", "planes")
-    for split in range(SPLITS + 1):
-        sides = [signed.select(F.col("class").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n_shingles", "planes")]) for c in "ab"]
-        stars = stage(_star_pairs(level).join(sides[0], "a").join(sides[1], "b").filter(
-            _sizes_allow(threshold) & _likely(threshold)).select("a", "b"), "near-pairs")
-        links = _with_links(links, _confirmed(stars, texts, shingle, threshold))
+    sides = [signed.select(F.col("class").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n_shingles", "planes")]) for c in "ab"]
+    stars = stage(_star_pairs(level).join(sides[0], "a").join(sides[1], "b").filter(
+        _sizes_allow(threshold) & _likely(threshold)).select("a", "b"), "near-pairs")
+    links = _with_links(links, _confirmed(stars, texts, shingle, threshold))
+    labels = stage(_components(links), "near-labels")
+    rooted = _labelled(level.select("bucket", "class"), labels, "class", "root")
+    state = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"),
+                                         F.count("*").alias("members")).filter("low <> high")
+    opened = stage(rooted.join(state.select("bucket", "members"), "bucket"), "near-open")
+    drop_staged(level)
+    rare = _rare_pairs(opened.filter(F.col("members") > SMALL), one, texts, shingle, threshold)
+    near = _open_pairs(opened.filter(F.col("members") <= SMALL), one, threshold)
+    pairs = stage(near.unionByName(rare).distinct().join(stars, ["a", "b"], "left_anti"), "near-pairs")
+    drop_staged(opened), drop_staged(rare), drop_staged(stars)
+    if not pairs.isEmpty():
+        links = _with_links(links, _confirmed(pairs, texts, shingle, threshold))
+        drop_staged(labels)
         labels = stage(_components(links), "near-labels")
-        rooted = _labelled(level.select("bucket", "band", "class"), labels, "class", "root")
-        state = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"),
-                                             F.count("*").alias("members")).filter("low <> high")
-        opened = stage(rooted.join(state.select("bucket", "members"), "bucket"), "near-open")
-        drop_staged(level)
-        listed = opened if split == SPLITS else opened.filter(F.col("members") <= SMALL)
-        pairs = stage(_open_pairs(listed, one, threshold).join(stars, ["a", "b"], "left_anti"), "near-pairs")
-        if not pairs.isEmpty():
-            links = _with_links(links, _confirmed(pairs, texts, shingle, threshold))
-            drop_staged(labels)
-            labels = stage(_components(links), "near-labels")
-        drop_staged(stars), drop_staged(pairs)
-        large = opened.filter(F.col("members") > SMALL)
-        if split == SPLITS or large.isEmpty():
-            drop_staged(opened), drop_staged(texts), drop_staged(links)
-            return labels
-        after = large.select("bucket", "band", "class").join(one.select("class", "bands"), "class").select(
-            "class", "bucket", "band", F.posexplode("bands").alias("next", "value")).filter("next > band")
-        level = stage(_shared_buckets(after.select(
-            "class", F.col("next").cast("byte").alias("band"), F.xxhash64("bucket", "value").alias("bucket"))), "near-buckets")
-        drop_staged(opened), drop_staged(labels)
+    drop_staged(pairs), drop_staged(texts), drop_staged(links)
+    return labels
 
 
 def _with_links(links: DataFrame, more: DataFrame) -> DataFrame:
