@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -48,15 +48,15 @@ def require_route(pages: DataFrame, rule: BodyRule, url: str = "url") -> DataFra
 def with_body(pages: DataFrame, rules=SITE_RULES, html: str = "html", rule_no: str = "rule_no") -> DataFrame:
     """Add ``body``, the text that rule ``rule_no`` finds in ``html``, null without one.
 
-    Only the two input columns travel to Python, in Arrow batches. The function is
-    declared non-deterministic because Catalyst would otherwise repeat it below
-    joins and in filters, and each page should be parsed once.
+    Only the two input columns travel to Python, in Arrow batches, of which one page at a
+    time becomes a Python string. The function is declared non-deterministic because Catalyst
+    would otherwise repeat it below joins and in filters, and each page should be parsed once.
     """
     rules = tuple(rules)
 
-    @F.pandas_udf("string")
-    def body(pages_html: pd.Series, numbers: pd.Series) -> pd.Series:
-        return pd.Series([page_body(h, rules[n]) for h, n in zip(pages_html, numbers)], dtype=object)
+    @F.arrow_udf("string")
+    def body(pages_html: pa.Array, numbers: pa.Array) -> pa.Array:
+        return pa.array((page_body(h.as_py(), rules[n.as_py()]) for h, n in zip(pages_html, numbers)), pa.string())
 
     return pages.withColumn("body", body.asNondeterministic()(F.col(html), F.col(rule_no)))
 
