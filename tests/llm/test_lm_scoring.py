@@ -56,3 +56,18 @@ def test_empty_and_no_training(spark, no_docs, clashing):
     held = next(k for k in range(100) if not trains(k))
     (r,) = run(spark.createDataFrame([(held, "a b")], "doc_id long, text string"))
     assert (r.n_tokens, r.n_known, r.base_score, r.score, r.train_tokens) == (3, 0, 0.0, 0.0, 0)
+
+
+def test_asked_hashes_are_exact_and_smaller_than_six_bytes():
+    hashes = np.random.default_rng(1).integers(1, 1 << 63, 50_000, dtype=np.uint64)
+    hashes = np.concatenate([hashes, [M.START, M.END]]).astype(np.uint64)
+    block = M.Block.__new__(M.Block)
+    block.words = np.sort(hashes)
+    for buckets in (4, 1 << 17):
+        found, places, bounds = block.asked(1, buckets)
+        assert sorted(places) == list(range(len(hashes)))
+        cuts = [found[places[bounds[i]:bounds[i + 1]]] for i in range(buckets) if bounds[i] < bounds[i + 1]]
+        sent = [M._short(c) for c in cuts]
+        assert all((M._long(s) == c & np.uint64((1 << 48) - 1)).all() for s, c in zip(sent, cuts))
+        if buckets == 4:
+            assert sum(map(len, sent)) < 5 * len(hashes)

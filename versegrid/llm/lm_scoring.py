@@ -39,6 +39,7 @@ BLOCK = 1 << 20
 BUCKET = 1 << 21
 STEP = 0.05
 CLASSES = 64
+LOW = np.uint64((1 << 48) - 1)
 START, END = np.uint64(1), np.uint64(2)
 KEPT_WORDS = 400_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -87,14 +88,28 @@ def _unpack_counts(data: bytes) -> np.ndarray:
 
 
 def _short(hashes: np.ndarray) -> bytes:
-    """The low 48 bits. A bucket has some two million hashes however large the corpus, so no two of it are likely to agree."""
-    return np.ascontiguousarray(hashes.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    """The low 48 bits, each as its distance to the one before: hashes of one bucket in the order of these bits are close together.
+
+    A bucket has some two million hashes however large the corpus, so no two of it are likely to agree.
+    """
+    low = hashes & LOW
+    return _pack_steps(np.diff(low, prepend=np.uint64(0)), 6)
 
 
 def _long(data: bytes) -> np.ndarray:
-    octets = np.zeros((len(data) // 6, 8), np.uint8)
-    octets[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return octets.view("<u8").reshape(-1)
+    return np.cumsum(_unpack_steps(data, 6), dtype=np.uint64)
+
+
+def _pack_steps(steps: np.ndarray, octets: int) -> bytes:
+    planes = np.ascontiguousarray(steps.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :octets].T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def _unpack_steps(data: bytes, octets: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(octets, -1)
+    steps = np.zeros((planes.shape[1], 8), np.uint8)
+    steps[:, :octets] = planes.T
+    return steps.view("<u8").reshape(-1)
 
 
 def blocks(docs: DataFrame, key: str, text: str, held_out: Column, size: int = BLOCK) -> DataFrame:
@@ -111,7 +126,7 @@ def blocks(docs: DataFrame, key: str, text: str, held_out: Column, size: int = B
             return pa.record_batch([
                 pa.array([TaskContext.get().partitionId() << 32 | number], pa.int64()), pa.array([keys], pa.list_(key_type)),
                 pa.array([flags], pa.list_(pa.bool_())), pa.array([[len(p) - 1 for p in parts]], pa.list_(pa.int32())),
-                pa.array([words.tobytes()], pa.binary()), pa.array([_pack(index)], pa.binary()),
+                pa.array([_pack_steps(np.diff(words, prepend=np.uint64(0)), 8)], pa.binary()), pa.array([_pack(index)], pa.binary()),
                 pa.array([len(words) + len(np.unique(codes))], pa.int64())],
                 names=["block", "keys", "held_out", "lengths", "words", "stream", "n_keys"])
 
@@ -146,7 +161,7 @@ class Block:
 
     def __init__(self, row: dict):
         self.lengths = np.asarray(row["lengths"], np.int64)
-        self.words = np.frombuffer(row["words"], np.uint64)
+        self.words = np.cumsum(_unpack_steps(row["words"], 8), dtype=np.uint64)
         self.held_out = np.asarray(row["held_out"], bool)
         index, parts = _unpack(row["stream"]), self.lengths + 1
         self.pairs, self.pair = np.unique(_pair_codes(index, parts, len(self.words)), return_inverse=True)
@@ -154,13 +169,16 @@ class Block:
         self.trains = np.repeat(~self.held_out, self.lengths)
 
     def asked(self, order: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of one order, the places that sort them by bucket, and where each bucket begins."""
+        """Hashes of one order, the places that sort them by bucket and low bits, and where each bucket begins."""
         if order == 1:
             hashes = self.words
         else:
             hashes = pair_hashes(self.words[self.pairs // len(self.words)], self.words[self.pairs % len(self.words)])
         bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-        places = np.argsort(bucket, kind="stable")
+        if buckets <= 1 << 16:  # one number to sort by
+            places = np.argsort(bucket << np.uint64(48) | hashes & LOW)
+        else:
+            places = np.lexsort((hashes & LOW, bucket))
         return hashes, places, np.searchsorted(bucket[places], np.arange(buckets + 1, dtype=np.uint64))
 
     def training_counts(self, order: int) -> np.ndarray:
