@@ -99,3 +99,38 @@ def test_bit_map_keeps_all_matches(spark):
     assert near >= set(range(0, 5000, 7)) and len(near) < 1000
     assert {r.id for r in without(rows, "id", keys, "k").collect()} == set(range(5000)) - set(range(0, 5000, 7))
     assert without(rows, "id", keys.limit(0), "k").count() == 5000
+
+
+def test_parities_rule_out_pairs_below_the_threshold(spark):
+    """Sets at the threshold always pass; of sets at 0.72 and 0.5 none does, whatever the signatures estimate."""
+    rng, rows = np.random.default_rng(5), []
+    for share, passes in ((0.8, True), (0.72, False), (0.5, False)):
+        for _ in range(20):
+            common = round(2 * 300 * share / (1 + share) + 0.5)
+            both = rng.integers(0, 2**63, common, np.uint64)
+            sets = [np.unique(np.concatenate([both, rng.integers(0, 2**63, 300 - common, np.uint64)])) for _ in range(2)]
+            rows.append((300, 300, *[N.parities(x).tolist() for x in sets], passes))
+    df = spark.createDataFrame(rows, "n_shingles_a long, n_shingles_b long, odd_a array<long>, odd_b array<long>, passes boolean")
+    assert df.filter(N._parities_allow(80) != F.col("passes")).count() == 0
+
+
+def test_group_of_near_copies_confirms_few_pairs(spark, monkeypatch):
+    """Copies of one text with changed words, at 0.8 of each other on average: the pairs to confirm follow the members."""
+    rng, confirmed = random.Random(3), []
+    confirm = N._confirmed
+
+    def counted(likely, *rest):
+        confirmed.append(likely.count())
+        return confirm(likely, *rest)
+
+    monkeypatch.setattr(N, "_confirmed", counted)
+    rows = []
+    for i in range(240):
+        words = [f"w{j}" for j in range(150)]
+        for place in rng.sample(range(150), 4):
+            words[place] = f"x{i}y{place}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.key, r.n_shingles, r.component) for r in N.near_duplicates(df, shingle=4).collect()}
+    assert got == brute(rows, 4)
+    assert sum(confirmed) < 12 * len(rows)

@@ -11,9 +11,14 @@
    buckets. So a class gives at most four pairs, and groups of copies meet in the same
    members. Signatures are compared by bit counts, corrected for the bits that agree by
    chance; a pair goes on unless its estimate is more than ``SLACK`` below the threshold,
-   six times the error of 240 minima. Remaining pairs are confirmed on the full sets.
+   six times the error of 240 minima, or the parities of the two sets differ in more places
+   than sets at the threshold can: each shingle of one set only changes one of ``PARITIES``
+   bits, so that bound is exact. Remaining pairs are confirmed on the full sets.
 4. Confirmed links join classes into components. A bucket whose members are all in one
-   component has nothing left to say. In any other bucket the pairs across components
+   component has nothing left to say. Up to ``DEALS`` times the members of the other ones are
+   dealt into groups of some ``DEALT`` members, each is compared with the first and the last of
+   its groups, and links join components further. So large groups of near copies become
+   one component by a few pairs a member. In the buckets that are left the pairs across components
    are still open. Small ones compare the signatures of all of them. The classes of large
    ones meet on their rarest shingles instead: of two sets at the threshold each has one of its
    ``n - ceil(0.8 n) + 1`` first shingles among the other's, in any order that is the same for
@@ -51,10 +56,16 @@ ROWS = 5
 BITS = 2
 #: Pairs whose estimated percentage is this far below the threshold are not confirmed (six standard errors).
 SLACK = 20
+#: Bits of the parities of a set.
+PARITIES = 1024
+#: Rounds in which members of open buckets are dealt anew, and members of a group.
+DEALS, DEALT = 3, 8
 #: Buckets up to this many members list their open pairs at once.
 SMALL = 32
 #: Words whose hash a worker keeps before it starts anew, and the length up to which one is kept: some 16 MB.
 KEPT_WORDS, KEPT_LENGTH = 100_000, 64
+#: What two classes are compared by before their texts.
+SIGNATURE = ("n_shingles", "planes", "odd")
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 _known: dict[bytes, int] = {}
@@ -112,16 +123,22 @@ def packed(low: np.ndarray, bits: int = BITS) -> np.ndarray:
     return planes.reshape(-1).view(np.int64)
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Whether an odd number of the set's members falls on each of ``PARITIES`` places, as 64-bit words."""
+    places = (hashes * _M1) >> np.uint64(64 - PARITIES.bit_length() + 1)
+    return np.packbits(np.bincount(places.astype(np.int64), minlength=PARITIES).astype(np.uint8) & 1).view(np.int64)
+
+
 def signatures(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
-    """``(key, n_shingles, class, bands, planes)``: set size, digest of the set, band hashes, packed low bits."""
+    """``(key, n_shingles, class, bands, planes, odd)``: set size, digest of the set, band hashes, packed low bits, parities."""
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            sizes, classes, bands, planes = [], [], [], []
+            sizes, classes, bands, planes, odd = [], [], [], [], []
             for t in batch.column(1):
                 hashes = shingle_hashes(t.as_py(), shingle)
                 sizes.append(len(hashes))
                 if not len(hashes):
-                    classes.append(None), bands.append(None), planes.append(None)
+                    classes.append(None), bands.append(None), planes.append(None), odd.append(None)
                     continue
                 low = minima(hashes)
                 classes.append(xxhash.xxh3_128_digest(hashes.tobytes()))
@@ -132,14 +149,15 @@ def signatures(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
                     value ^= value >> np.uint64(31)
                 bands.append(value.view(np.int64))
                 planes.append(packed(low))
+                odd.append(parities(hashes))
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()),
-                                   pa.array(bands, pa.list_(pa.int64())), pa.array(planes, pa.list_(pa.int64()))],
-                                  names=["key", "n_shingles", "class", "bands", "planes"])
+                                   *[pa.array(c, pa.list_(pa.int64())) for c in (bands, planes, odd)]],
+                                  names=["key", "n_shingles", "class", "bands", "planes", "odd"])
         _known.clear()  # an idle worker keeps nothing
 
     kind = docs.select(key).schema[0].dataType.simpleString()
     return docs.select(key, text).mapInArrow(
-        batches, f"key {kind}, n_shingles long, class binary, bands array<long>, planes array<long>")
+        batches, f"key {kind}, n_shingles long, class binary, bands array<long>, planes array<long>, odd array<long>")
 
 
 def estimate(a: Column, b: Column, count: int = BANDS * ROWS, bits: int = BITS) -> Column:
@@ -155,7 +173,15 @@ def estimate(a: Column, b: Column, count: int = BANDS * ROWS, bits: int = BITS)
 
 
 def _likely(threshold: int) -> Column:
-    return 100 * estimate(F.col("planes_a"), F.col("planes_b")) >= threshold - SLACK
+    return _parities_allow(threshold) & (100 * estimate(F.col("planes_a"), F.col("planes_b")) >= threshold - SLACK)
+
+
+def _parities_allow(threshold: int) -> Column:
+    """The sets differ in no more members than the threshold leaves; they differ in as many as their parities, or more."""
+    differ = F.lit(0)
+    for w in range(PARITIES // 64):
+        differ = differ + F.bit_count(F.get("odd_a", F.lit(w)).bitwiseXOR(F.get("odd_b", F.lit(w))))
+    return (100 + threshold) * differ <= (100 - threshold) * (F.col("n_shingles_a") + F.col("n_shingles_b"))
 
 
 def _confirmed(likely: DataFrame, texts: DataFrame, shingle: int, threshold: int) -> DataFrame:
@@ -223,10 +249,42 @@ def _star_pairs(level: DataFrame) -> DataFrame:
         F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
 
 
+def _dealt_pairs(opened: DataFrame, deal: int) -> DataFrame:
+    """``(a, b)``: each class of ``(bucket, class, root, members)`` with at most two members of other components.
+
+    Large buckets are dealt into groups by a hash that each ``deal`` changes. Of a group the first and the last member
+    under the order of that hash are named, and a class takes those that come first and last among all its groups.
+    """
+    drawn = F.xxhash64("class", F.lit(deal))
+    place = F.pmod(drawn, F.ceil(F.col("members") / DEALT))
+    dealt = opened.select("class", "root", F.xxhash64("bucket", place).alias("group"),
+                          F.struct(F.xxhash64("class", F.lit(-1 - deal)).alias("drawn"), "class", "root").alias("own"))
+    named = dealt.groupBy("group").agg(F.min("own").alias("low"), F.max("own").alias("high")).filter("low <> high")
+    across = dealt.join(named, "group").groupBy("class").agg(
+        *[f(F.when(F.col(f"{n}.root") != F.col("root"), F.col(n))).alias(n) for f, n in ((F.min, "low"), (F.max, "high"))])
+    return across.select("class", F.explode(F.array("low.class", "high.class")).alias("other")).filter("other IS NOT NULL").select(
+        F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
+
+
+def _opened(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The stored ``(bucket, class, root, members)`` of the buckets in ``rows`` that several components share."""
+    rooted = _labelled(rows.select("bucket", "class"), labels, "class", "root")
+    state = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"),
+                                         F.count("*").alias("members")).filter("low <> high")
+    return stage(rooted.join(state.select("bucket", "members"), "bucket"), "near-open")
+
+
+def _likely_pairs(pairs: DataFrame, one: DataFrame, threshold: int) -> DataFrame:
+    """The stored pairs ``(a, b)`` whose sizes and signatures let them reach the threshold."""
+    sides = [one.select(F.col("class").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in SIGNATURE]) for c in "ab"]
+    return stage(pairs.join(sides[0], "a").join(sides[1], "b").filter(
+        _sizes_allow(threshold) & _likely(threshold)).select("a", "b"), "near-pairs")
+
+
 def _open_pairs(listed: DataFrame, one: DataFrame, threshold: int) -> DataFrame:
     """Likely pairs across components of the buckets in ``listed``; the join compares sizes and signatures and keeps what is likely."""
-    rows = listed.select("bucket", "class", "root").join(one.select("class", "n_shingles", "planes"), "class")
-    sides = [rows.select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in ("class", "root", "n_shingles", "planes")]) for side in "ab"]
+    rows = listed.select("bucket", "class", "root").join(one.select("class", *SIGNATURE), "class")
+    sides = [rows.select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in ("class", "root", *SIGNATURE)]) for side in "ab"]
     met = sides[0].join(sides[1], (sides[0]["bucket"] == sides[1]["bucket"]) & (F.col("root_a") < F.col("root_b"))
                         & _sizes_allow(threshold) & _likely(threshold))
     return met.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
@@ -270,10 +328,9 @@ def _rare_pairs(opened: DataFrame, one: DataFrame, texts: DataFrame, shingle: in
     """
     members = opened.groupBy("class").agg(F.min("root").alias("root"))
     rows = stage(_shingle_rows(texts.join(members, "class"), shingle), "near-shingles")
-    first = stage(_first_shingles(rows, threshold).join(one.select("class", "planes"), "class"), "near-first")
+    first = stage(_first_shingles(rows, threshold).join(one.select("class", "planes", "odd"), "class"), "near-first")
     drop_staged(rows)
-    sides = [first.select("hash", *[F.col(c).alias(f"{c}_{side}") for c in ("class", "root", "n_shingles", "planes", "place")])
-             for side in "ab"]
+    sides = [first.select("hash", *[F.col(c).alias(f"{c}_{side}") for c in ("class", "root", "place", *SIGNATURE)]) for side in "ab"]
     behind = F.least(F.col("n_shingles_a") - F.col("place_a"), F.col("n_shingles_b") - F.col("place_b"))
     enough = (100 + threshold) * (behind + 1) >= threshold * (F.col("n_shingles_a") + F.col("n_shingles_b"))
     met = sides[0].join(sides[1], (sides[0]["hash"] == sides[1]["hash"]) & (F.col("root_a") < F.col("root_b"))
@@ -284,8 +341,8 @@ def _rare_pairs(opened: DataFrame, one: DataFrame, texts: DataFrame, shingle: in
 
 
 def numbered_classes(sig: DataFrame) -> DataFrame:
-    """The stored ``(class, digest, key, n_shingles, bands, planes)``: each distinct set once, under an 8-byte number."""
-    distinct = sig.filter("digest IS NOT NULL AND key IS NOT NULL").select("digest", "key", "n_shingles", "bands", "planes").dropDuplicates(["digest"])
+    """The stored ``(class, digest, key, n_shingles, bands, planes, odd)``: each distinct set once, under an 8-byte number."""
+    distinct = sig.filter("digest IS NOT NULL AND key IS NOT NULL").select("digest", "key", *SIGNATURE, "bands").dropDuplicates(["digest"])
     return stage(distinct.withColumn("class", F.monotonically_increasing_id()), "near-classes")
 
 
@@ -300,21 +357,28 @@ def class_links(classed: DataFrame, one: DataFrame, docs: DataFrame, key: str, t
     found = reduced(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", wanted, "key").join(wanted, "key")
     texts = stage(_of_class(found.select("class", "digest", "text"), shingle).dropDuplicates(["class"]), "near-texts")
     drop_staged(wanted)
-    signed = one.select("class", "n_shingles", "planes")
-    sides = [signed.select(F.col("class").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n_shingles", "planes")]) for c in "ab"]
-    stars = stage(_star_pairs(level).join(sides[0], "a").join(sides[1], "b").filter(
-        _sizes_allow(threshold) & _likely(threshold)).select("a", "b"), "near-pairs")
-    links = _with_links(links, _confirmed(stars, texts, shingle, threshold))
+    tried = _likely_pairs(_star_pairs(level), one, threshold)
+    links = _with_links(links, _confirmed(tried, texts, shingle, threshold))
     labels = stage(_components(links), "near-labels")
-    rooted = _labelled(level.select("bucket", "class"), labels, "class", "root")
-    state = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"),
-                                         F.count("*").alias("members")).filter("low <> high")
-    opened = stage(rooted.join(state.select("bucket", "members"), "bucket"), "near-open")
+    opened = _opened(level, labels)
     drop_staged(level)
+    for deal in range(DEALS):
+        dealt = _likely_pairs(_dealt_pairs(opened, deal).join(tried, ["a", "b"], "left_anti"), one, threshold)
+        found = stage(_confirmed(dealt, texts, shingle, threshold), "near-found")
+        tried, before = stage(tried.unionByName(dealt), "near-pairs"), tried
+        drop_staged(before), drop_staged(dealt)
+        if found.isEmpty():
+            drop_staged(found)
+            break
+        links = _with_links(links, found)
+        drop_staged(found), drop_staged(labels)
+        labels = stage(_components(links), "near-labels")
+        opened, before = _opened(opened, labels), opened
+        drop_staged(before)
     rare = _rare_pairs(opened.filter(F.col("members") > SMALL), one, texts, shingle, threshold)
     near = _open_pairs(opened.filter(F.col("members") <= SMALL), one, threshold)
-    pairs = stage(near.unionByName(rare).distinct().join(stars, ["a", "b"], "left_anti"), "near-pairs")
-    drop_staged(opened), drop_staged(rare), drop_staged(stars)
+    pairs = stage(near.unionByName(rare).distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
+    drop_staged(opened), drop_staged(rare), drop_staged(tried)
     if not pairs.isEmpty():
         links = _with_links(links, _confirmed(pairs, texts, shingle, threshold))
         drop_staged(labels)
