@@ -134,3 +134,20 @@ def test_group_of_near_copies_confirms_few_pairs(spark, monkeypatch):
     got = {(r.key, r.n_shingles, r.component) for r in N.near_duplicates(df, shingle=4).collect()}
     assert got == brute(rows, 4)
     assert sum(confirmed) < 12 * len(rows)
+
+
+def test_components_are_looked_for_twice_at_most(spark, monkeypatch):
+    """A large group whose members resemble each other at about 0.8: its rounds do not follow the deals."""
+    rng, calls = random.Random(4), []
+    components = N._components
+    monkeypatch.setattr(N, "_components", lambda links: calls.append(1) or components(links))
+    rows = []
+    for i in range(150):
+        words = [f"w{j}" for j in range(150)]
+        for place in rng.sample(range(150), 2 + i % 2):
+            words[place] = f"x{i}y{place}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.key, r.n_shingles, r.component) for r in N.near_duplicates(df, shingle=4).collect()}
+    assert got == brute(rows, 4)
+    assert len(calls) <= 2

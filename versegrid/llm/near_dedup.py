@@ -8,17 +8,16 @@
    (1 - 0.8^5)^48 = 5e-9.
 3. A bucket of any size names four of its members, the first and last under two orders
    of the digests, and a class is paired with the four that come first among all its
-   buckets. So a class gives at most four pairs, and groups of copies meet in the same
-   members. Signatures are compared by bit counts, corrected for the bits that agree by
+   buckets. So a class gets four pairs this way, and groups of copies meet in the same
+   members. Members of larger buckets are also dealt into groups of some ``DEALT`` members, in
+   ``DEALS`` ways, and each is paired with the first and the last of its groups. So large groups
+   of near copies become one component by a few pairs a member. Signatures are compared by bit counts, corrected for the bits that agree by
    chance; a pair goes on unless its estimate is more than ``SLACK`` below the threshold,
    six times the error of 240 minima, or the parities of the two sets differ in more places
    than sets at the threshold can: each shingle of one set only changes one of ``PARITIES``
    bits, so that bound is exact. Remaining pairs are confirmed on the full sets.
 4. Confirmed links join classes into components. A bucket whose members are all in one
-   component has nothing left to say. Up to ``DEALS`` times the members of the other ones are
-   dealt into groups of some ``DEALT`` members, each is compared with the first and the last of
-   its groups, and links join components further. So large groups of near copies become
-   one component by a few pairs a member. In the buckets that are left the pairs across components
+   component has nothing left to say. In the buckets that are left the pairs across components
    are still open. Small ones compare the signatures of all of them. The classes of large
    ones meet on their rarest shingles instead: of two sets at the threshold each has one of its
    ``n - ceil(0.8 n) + 1`` first shingles among the other's, in any order that is the same for
@@ -58,7 +57,7 @@ BITS = 2
 SLACK = 20
 #: Bits of the parities of a set.
 PARITIES = 1024
-#: Rounds in which members of open buckets are dealt anew, and members of a group.
+#: Ways in which the members of buckets are dealt, and members of a group.
 DEALS, DEALT = 3, 8
 #: Buckets up to this many members list their open pairs at once.
 SMALL = 32
@@ -232,11 +231,11 @@ def _halves_swapped(number: Column) -> Column:
 
 
 def _shared_buckets(level: DataFrame) -> DataFrame:
-    """The rows of buckets with several classes, each with the four members its bucket names."""
+    """The rows of buckets with several classes, each with the four members its bucket names and their number."""
     swapped = _halves_swapped(F.col("class"))
     named = level.groupBy("bucket").agg(
         F.min("class").alias("low"), F.max("class").alias("high"),
-        F.min(swapped).alias("low_swapped"), F.max(swapped).alias("high_swapped")).filter("low <> high")
+        F.min(swapped).alias("low_swapped"), F.max(swapped).alias("high_swapped"), F.count("*").alias("members")).filter("low <> high")
     return level.join(named, "bucket")
 
 
@@ -249,20 +248,19 @@ def _star_pairs(level: DataFrame) -> DataFrame:
         F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
 
 
-def _dealt_pairs(opened: DataFrame, deal: int) -> DataFrame:
-    """``(a, b)``: each class of ``(bucket, class, root, members)`` with at most two members of other components.
+def _dealt_pairs(level: DataFrame) -> DataFrame:
+    """``(a, b)``: each class in a bucket of more than two with at most two others per deal.
 
-    Large buckets are dealt into groups by a hash that each ``deal`` changes. Of a group the first and the last member
-    under the order of that hash are named, and a class takes those that come first and last among all its groups.
+    Buckets are dealt into groups by a hash that each deal changes. Of a group the first and the last member
+    under the order of that hash are named, and a class takes those that come first and last among all its groups of a deal.
     """
-    drawn = F.xxhash64("class", F.lit(deal))
-    place = F.pmod(drawn, F.ceil(F.col("members") / DEALT))
-    dealt = opened.select("class", "root", F.xxhash64("bucket", place).alias("group"),
-                          F.struct(F.xxhash64("class", F.lit(-1 - deal)).alias("drawn"), "class", "root").alias("own"))
+    deals = level.filter("members > 2").select("bucket", "class", "members", F.explode(F.sequence(F.lit(1), F.lit(DEALS))).alias("deal"))
+    place = F.pmod(F.xxhash64("class", "deal"), F.ceil(F.col("members") / DEALT))
+    dealt = deals.select("class", "deal", F.xxhash64("bucket", "deal", place).alias("group"),
+                         F.struct(F.xxhash64("class", -F.col("deal")).alias("drawn"), "class").alias("own"))
     named = dealt.groupBy("group").agg(F.min("own").alias("low"), F.max("own").alias("high")).filter("low <> high")
-    across = dealt.join(named, "group").groupBy("class").agg(
-        *[f(F.when(F.col(f"{n}.root") != F.col("root"), F.col(n))).alias(n) for f, n in ((F.min, "low"), (F.max, "high"))])
-    return across.select("class", F.explode(F.array("low.class", "high.class")).alias("other")).filter("other IS NOT NULL").select(
+    taken = dealt.join(named, "group").groupBy("class", "deal").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return taken.select("class", F.explode(F.array("low.class", "high.class")).alias("other")).filter("class <> other").select(
         F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
 
 
@@ -357,24 +355,11 @@ def class_links(classed: DataFrame, one: DataFrame, docs: DataFrame, key: str, t
     found = reduced(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", wanted, "key").join(wanted, "key")
     texts = stage(_of_class(found.select("class", "digest", "text"), shingle).dropDuplicates(["class"]), "near-texts")
     drop_staged(wanted)
-    tried = _likely_pairs(_star_pairs(level), one, threshold)
+    tried = _likely_pairs(_star_pairs(level).unionByName(_dealt_pairs(level)).distinct(), one, threshold)
     links = _with_links(links, _confirmed(tried, texts, shingle, threshold))
     labels = stage(_components(links), "near-labels")
     opened = _opened(level, labels)
     drop_staged(level)
-    for deal in range(DEALS):
-        dealt = _likely_pairs(_dealt_pairs(opened, deal).join(tried, ["a", "b"], "left_anti"), one, threshold)
-        found = stage(_confirmed(dealt, texts, shingle, threshold), "near-found")
-        tried, before = stage(tried.unionByName(dealt), "near-pairs"), tried
-        drop_staged(before), drop_staged(dealt)
-        if found.isEmpty():
-            drop_staged(found)
-            break
-        links = _with_links(links, found)
-        drop_staged(found), drop_staged(labels)
-        labels = stage(_components(links), "near-labels")
-        opened, before = _opened(opened, labels), opened
-        drop_staged(before)
     rare = _rare_pairs(opened.filter(F.col("members") > SMALL), one, texts, shingle, threshold)
     near = _open_pairs(opened.filter(F.col("members") <= SMALL), one, threshold)
     pairs = stage(near.unionByName(rare).distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
